@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, secrets, topk
+from . import chat, neardup, secrets, suffixes, topk
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op3_chat_preferences(spark, sf_dir):
     return chat.format_preferences(chat.conversation_pairs(table(spark, sf_dir, "conversations")), "conv_id")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dups(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op10_topk_maxscore(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_preferences, op7_minhash_near_dups, op9_secret_scan, op10_topk_maxscore)}
+QUERIES = {f.__name__: f for f in (op3_chat_preferences, op4_suffix_dedup, op7_minhash_near_dups, op9_secret_scan, op10_topk_maxscore)}
 
 _RENDER = "list_aggregate(list_transform({0}, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '')"
 _LEN = "(12 + length(coalesce(x.role, 'unknown')) + 1 + length(coalesce(x.text, '')) + 11)"
