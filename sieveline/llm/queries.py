@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, secrets, suffixes, topk
+from . import chat, neardup, packing, secrets, suffixes, topk
 from .common import table
 
 
@@ -14,6 +14,17 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name):
+    """Where a vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_cost_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_minhash_near_dups(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
@@ -26,7 +37,7 @@ def op10_topk_maxscore(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_preferences, op4_suffix_dedup, op7_minhash_near_dups, op9_secret_scan, op10_topk_maxscore)}
+QUERIES = {f.__name__: f for f in (op3_chat_preferences, op4_suffix_dedup, op5_cost_packing, op7_minhash_near_dups, op9_secret_scan, op10_topk_maxscore)}
 
 _RENDER = "list_aggregate(list_transform({0}, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '')"
 _LEN = "(12 + length(coalesce(x.role, 'unknown')) + 1 + length(coalesce(x.text, '')) + 11)"
