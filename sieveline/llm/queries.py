@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, neardup, packing, quality, secrets, suffixes, topk
+from . import chat, fingerprints, lm, neardup, packing, quality, secrets, suffixes, topk
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_cost_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_backoff_lm(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dups(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_topk_maxscore(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_nbsvm, op3_chat_preferences, op4_suffix_dedup, op5_cost_packing, op7_minhash_near_dups, op8_weighted_fingerprints, op9_secret_scan, op10_topk_maxscore)}
+QUERIES = {f.__name__: f for f in (op2_quality_nbsvm, op3_chat_preferences, op4_suffix_dedup, op5_cost_packing, op6_backoff_lm, op7_minhash_near_dups, op8_weighted_fingerprints, op9_secret_scan, op10_topk_maxscore)}
 
 _RENDER = "list_aggregate(list_transform({0}, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '')"
 _LEN = "(12 + length(coalesce(x.role, 'unknown')) + 1 + length(coalesce(x.text, '')) + 11)"
