@@ -8,16 +8,18 @@ begin at anchors are sorted.
 
 1. Texts are made distinct (copies are known to repeat as a whole). Anchors whose gram is
    met once in all texts are done: their windows are unique.
-2. The other suffixes, with the bytes before them that their windows reach, are dealt out
-   by range: splitters from a sample of leading tokens (8 bytes) bound the buckets. Equal
-   contexts of a task are merged first.
+   A context is what its windows cover; contexts met twice (by 128 bits of two hashes, the
+   gram's and the whole's) are known to repeat, first within a task, then over all.
+2. One of each context that shares its gram with others is dealt out by range: splitters
+   from a sample of leading tokens (8 bytes) bound the buckets.
 3. A bucket is sorted by multikey quicksort, 8 bytes a key, and neighbours give the
    longest common prefixes; what precedes the anchors is sorted in the same way within
    equal grams. A window, o bytes before its anchor and WIDTH - o after, repeats when
    another row is in its class of both.
 4. Equal leading tokens share a bucket, so nothing reaches over a boundary, but for grams
-   met more than HOT times: one bucket can't be trusted to hold those. Their windows are
-   compared across all boundaries by 128-bit digests, counted with map-side merging.
+   met in more than HOT contexts: one bucket can't be trusted to hold those. Their windows
+   are compared across all boundaries, by 128-bit digests dealt over as many shards as the
+   input needs.
 5. Spans go back to the texts by the texts' digest.
 
 Cases: a null text is empty; texts shorter than WIDTH lose nothing; repeated rows repeat
@@ -32,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, pieces, splitmix
@@ -45,6 +47,8 @@ BUCKET = 40_000
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BYTE = splitmix(np.arange(256, dtype=np.uint64))
+KNOWN, SEND, FLOOD = 1, 2, 4  # what is to do with an anchor
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -60,7 +64,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each run of windows with one anchor: row, place of the anchor in the row's
-    bytes, the largest and least offset of the anchor in the run's windows, gram hash."""
+    bytes, the largest and least offset of the anchor in the run's windows, gram hash and
+    context hash."""
     parts = []
     for a, b in pieces(offsets, PART):
         begin, stop = int(offsets[a]), int(offsets[b])
@@ -73,6 +78,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             sums = np.zeros(n + 1, np.uint64)
             with np.errstate(over="ignore"):
                 np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+                other = np.zeros(n + 1, np.uint64)
+                np.cumsum(_BYTE[data[low:high]] * up, out=other[1:])
                 gram = splitmix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
             least = (gram & ~_LOW) | (_LOW - np.arange(len(gram), dtype=np.uint64))
             step, width = 1, 1
@@ -91,26 +98,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                 continue
             new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])]))
             last = np.concatenate([new[1:], [len(start)]]) - 1
-            at = chosen[new]
-            parts.append((row[new], at + low - offsets[row[new]], at - start[new], at - start[last], gram[at]))
+            at, head = chosen[new], start[new]
+            most, least = at - head, at - start[last]
+            with np.errstate(over="ignore"):
+                context = splitmix((other[at - least + WIDTH] - other[head]) * down[head] + ((most << 8) | least).astype(np.uint64))
+            parts.append((row[new], at + low - offsets[row[new]], most, least, gram[at], context))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
-    """values, ordered by row, as a list for each of n rows."""
-    offs = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
-
-
 def _find_anchors(batches):
+    """Anchors of each text. Of equal contexts in a batch one stands for all; the others
+    are known and need no comparison, so they take a gram of their own."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        row, at, most, least, gram = anchors(data, offsets)
+        row, at, most, least, gram, context = anchors(data, offsets)
         place = (at << 16) | (most << 8) | least
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(row, n, place.astype(np.int64)), _lists(row, n, gram.view(np.int64))], ["key", "places", "grams"])
+        n = len(row)
+        order = np.lexsort((np.arange(n), context, gram))
+        equal = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+        kind = np.zeros(n, np.int32)
+        if n:
+            kind[order[1:][equal]] = 2
+            heads = order[:-1][equal]
+            kind[heads[kind[heads] == 0]] = 1
+        known = kind == 2
+        with np.errstate(over="ignore"):
+            gram = np.where(known, splitmix(context + np.arange(n, dtype=np.uint64) + place.astype(np.uint64)), gram)
+        cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+        fields = [pa.array(place), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(kind)]
+        found = pa.StructArray.from_arrays(fields, ["place", "gram", "context", "kind"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(cut, found)], ["key", "found"])
 
 
 def _leads(batches):
@@ -128,49 +147,66 @@ def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return wide[at[:, None] + np.arange(8 * n)].view(">u8").astype(np.uint64)
 
 
-def _placed(batch):
-    """The anchors to look at in a batch of texts: row, place and offsets."""
-    places = batch.column("places").combine_chunks() if isinstance(batch.column("places"), pa.ChunkedArray) else batch.column("places")
-    row = np.repeat(np.arange(batch.num_rows), np.asarray(places.value_lengths().fill_null(0), np.int64))
-    place = np.asarray(places.flatten(), np.int64)
-    return row, place >> 16, (place >> 8) & 255, place & 255
+_RECORD = np.dtype([("key", "V16"), ("start", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
-def _contexts(splitters: np.ndarray):
+def _contexts(splitters: np.ndarray, shards: int):
+    """Known spans of each text, merged; contexts to compare; and of hot grams, records of
+    all windows, a row for each shard, under negative bucket numbers."""
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("around", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
 
+    def rows(n, bucket, **cols):
+        whole = {"bucket": bucket} | cols
+        return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(n, f.type) for f in schema], schema=schema)
+
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            row, at, most, least = _placed(batch)
-            if not len(row):
-                continue
-            here = at + offsets[row]
-            bucket = np.searchsorted(splitters, _words(data, here, 1)[:, 0], "right")
             raw = data.tobytes()
-            met: dict[tuple, int] = {}
-            twin = np.zeros(len(row), bool)
-            around = []
-            for i, (p, m, s) in enumerate(zip(here.tolist(), most.tolist(), least.tolist(), strict=True)):
-                text = raw[p - m : p - s + WIDTH]
-                first = met.setdefault((text, m), i)
-                if first != i:
-                    twin[first] = twin[i] = True
-                    text = None
-                around.append(text)
-            keys = batch.column("key").take(pa.array(row))
-            sent = np.array([x is not None for x in around])
-            # a row that both stands for its context and is known to repeat gives two rows
-            for mask, known in ((sent, False), (twin, True)):
-                which = np.flatnonzero(mask)
-                for i in range(0, len(which), 20_000):
-                    w = which[i : i + 20_000]
-                    cols = [bucket[w].astype(np.int32), keys.take(pa.array(w)), at[w], most[w].astype(np.int32), least[w].astype(np.int32)]
-                    if known:
-                        cols += [pa.nulls(len(w), pa.binary()), at[w] - most[w], at[w] - least[w] + WIDTH]
-                    else:
-                        cols += [pa.array([around[j] for j in w], pa.binary()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], schema=schema)
+            todo = batch.column("todo")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(todo.value_lengths(), np.int64))
+            flat = todo.flatten()
+            place, act = np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1))
+            order = np.lexsort((place, row))
+            row, place, act = row[order], place[order], act[order]
+            at, most, least = place >> 16, (place >> 8) & 255, place & 255
+            keys = batch.column("key")
+
+            known = np.flatnonzero(act & KNOWN)
+            if len(known):
+                # windows of a text come in order, so spans that touch follow each other
+                begin, end = (at - most)[known], (at - least)[known] + WIDTH
+                apart = np.concatenate([[True], (row[known][1:] != row[known][:-1]) | (begin[1:] > end[:-1])])
+                first = np.flatnonzero(apart)
+                last = np.append(first[1:], len(known)) - 1
+                r = row[known][first]
+                yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=begin[first], stop=end[last])
+
+            sent = np.flatnonzero(act & SEND)
+            for i in range(0, len(sent), 20_000):
+                w = sent[i : i + 20_000]
+                here = at[w] + offsets[row[w]]
+                bucket = np.searchsorted(splitters, _words(data, here, 1)[:, 0], "right")
+                around = [raw[a:b] for a, b in zip((here - most[w]).tolist(), (here - least[w] + WIDTH).tolist(), strict=True)]
+                yield rows(len(w), bucket, key=keys.take(pa.array(row[w])), at=at[w], most=most[w], least=least[w], around=around)
+
+            flood = np.flatnonzero(act & FLOOD)
+            for i in range(0, len(flood), 2_000):
+                w = flood[i : i + 2_000]
+                size = most[w] - least[w] + 1
+                which = np.repeat(w, size)
+                start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat((at - most)[w], size)
+                record = np.empty(len(which), _RECORD)
+                record["key"] = np.frombuffer(b"".join(keys[int(r)].as_py() for r in row[which]), "V16")
+                record["start"] = start
+                begin = start + offsets[row[which]]
+                two = np.frombuffer(b"".join(hashlib.blake2b(raw[q : q + WIDTH], digest_size=16).digest() for q in begin.tolist()), np.uint64).reshape(-1, 2)
+                record["a"], record["b"] = two[:, 0], two[:, 1]
+                shard = (two[:, 0] % np.uint64(shards)).astype(np.int64)
+                by = np.argsort(shard, kind="stable")
+                cuts = [0, *(np.flatnonzero(np.diff(shard[by])) + 1).tolist(), len(by)]
+                blobs = [record[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield rows(len(blobs), [-1 - int(shard[by[a]]) for a in cuts[:-1]], around=blobs)
 
     return run
 
@@ -262,8 +298,25 @@ def _sorted_buckets(batches):
     held: list[pa.Table] = []
     last = None
 
+    def flood(blobs):
+        record = np.frombuffer(b"".join(blobs), _RECORD)
+        order = np.lexsort((record["b"], record["a"]))
+        same = (record["a"][order][1:] == record["a"][order][:-1]) & (record["b"][order][1:] == record["b"][order][:-1])
+        again = np.zeros(len(order), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        some = record[order[again]]
+        for i in range(0, len(some), 50_000):
+            r = some[i : i + 50_000]
+            keys = pa.Array.from_buffers(pa.binary(16), len(r), [None, pa.py_buffer(np.ascontiguousarray(r["key"]).tobytes())]).cast(pa.binary())
+            start = r["start"].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(start + WIDTH)], schema=schema)
+
     def flush():
         t = pa.concat_tables(held).combine_chunks()
+        if last < 0:
+            yield from flood(t.column("around").to_pylist())
+            return
         at, most, least = (np.asarray(t.column(c), np.int64) for c in ("at", "most", "least"))
         row, first, end = repeated(t.column("around").to_pylist(), most, least)
         keys = t.column("key").combine_chunks()
@@ -290,22 +343,6 @@ def _sorted_buckets(batches):
         yield from flush()
 
 
-def _digests(batches):
-    """Every window of hot anchors, as its start and a 128-bit digest."""
-    for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        raw = data.tobytes()
-        row, at, most, least = _placed(batch)
-        starts: list[list[int]] = [[] for _ in range(batch.num_rows)]
-        wins: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-        for r, p, m, s in zip(row.tolist(), at.tolist(), most.tolist(), least.tolist(), strict=True):
-            for o in range(s, m + 1):
-                q = int(offsets[r]) + p - o
-                starts[r].append(p - o)
-                wins[r].append(hashlib.blake2b(raw[q : q + WIDTH], digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(starts, pa.list_(pa.int64())), pa.array(wins, pa.list_(pa.binary()))], ["key", "starts", "wins"])
-
-
 def _cut(batches):
     """Each text without its spans."""
     for batch in batches:
@@ -345,31 +382,33 @@ def _cut(batches):
 def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """key (the text's MD5), n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes
     that remain, as text; a character cut in two is left out) of each distinct text."""
-    keyed = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("key"), "text")
+    # the key is never null and n goes along everywhere, so that all three readers of the
+    # texts are the same plan and their one shuffle is reused
+    key = F.coalesce(F.unhex(F.md5(F.encode("text", "UTF-8"))), F.lit(b""))
+    keyed = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(key.alias("key"), "text")
     texts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     rows, total = keyed.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sample = keyed.select("text").sample(min(1.0, 1500 / max(rows, 1)), seed=7)
     leads = np.sort(np.array([r[0] for r in sample.mapInArrow(_leads, "lead long").collect()], np.int64).view(np.uint64))
     want = max(1, min(len(leads), total // (76 * bucket)))
     splitters = np.unique(leads[(np.arange(1, want) * len(leads)) // want]) if want > 1 else np.zeros(0, np.uint64)
-    found = texts.select("key", "text").mapInArrow(_find_anchors, "key binary, places array<long>, grams array<long>")
-    each = found.select("key", F.explode(F.arrays_zip("places", "grams")).alias("x")).select("key", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
-    often = each.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    common = each.join(often, "gram")
-    span = "key binary, start long, stop long"
-
-    def with_texts(some):
-        listed = some.groupBy("key").agg(F.collect_list("place").alias("places"))
-        return texts.select("key", "text").join(listed, "key")
-
-    contexts = with_texts(common.where(F.col("m") <= hot)).mapInArrow(
-        _contexts(splitters), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
+    found = texts.mapInArrow(_find_anchors, "key binary, found array<struct<place:long,gram:long,context:long,kind:int>>")
+    each = found.select("key", F.explode("found").alias("x")).select("key", "x.*")
+    gram, context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
+    seen = (
+        each.withColumn("i", F.row_number().over(context.orderBy("kind", "key", "place")))
+        .withColumn("m", F.count("*").over(context))
+        .withColumn("others", F.min("context").over(gram) != F.max("context").over(gram))
+        .withColumn("kinds", F.count_if(F.col("i") == 1).over(gram))
+    )
+    known = F.when((F.col("kind") > 0) | (F.col("m") > 1), KNOWN).otherwise(0)
+    rival = F.when(F.col("others") & (F.col("i") == 1), F.when(F.col("kinds") > hot, FLOOD).otherwise(SEND)).otherwise(0)
+    todo = seen.select("key", "place", (known + rival).cast("int").alias("act")).where("act > 0")
+    listed = todo.groupBy("key").agg(F.collect_list(F.struct("place", "act")).alias("todo"))
+    contexts = texts.join(listed, "key").mapInArrow(
+        _contexts(splitters, max(16, total >> 20)), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
     )
-    spans = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, span)
-    wins = with_texts(common.where(F.col("m") > hot)).mapInArrow(_digests, "key binary, starts array<long>, wins array<binary>")
-    wins = wins.select("key", F.explode(F.arrays_zip("starts", "wins")).alias("x")).select("key", F.col("x.starts").alias("start"), F.col("x.wins").alias("win"))
-    twice = wins.groupBy("win").agg(F.count("*").alias("m")).where("m > 1").select("win")
-    spans = spans.unionByName(wins.join(twice, "win").select("key", "start", (F.col("start") + WIDTH).alias("stop")))
+    spans = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "key binary, start long, stop long")
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     none = F.array().cast("array<struct<start:long,stop:long>>")
     ready = texts.join(listed, "key", "left").select("key", "n", "text", F.coalesce("spans", none).alias("spans"))
