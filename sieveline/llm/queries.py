@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, lm, neardup, packing, quality, secrets, suffixes, topk
+from . import chat, fingerprints, lm, neardup, packing, quality, secrets, sentencepieces, suffixes, topk
 from .common import table
 
 
+def tokenizer(name):
+    """Where a vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sentencepiece_nbest(spark, sf_dir):
+    return sentencepieces.report(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op2_quality_nbsvm(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,13 +29,6 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-def tokenizer(name):
-    """Where a vocabulary file of the public tokenizers lies."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op5_cost_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def op10_topk_maxscore(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_nbsvm, op3_chat_preferences, op4_suffix_dedup, op5_cost_packing, op6_backoff_lm, op7_minhash_near_dups, op8_weighted_fingerprints, op9_secret_scan, op10_topk_maxscore)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_nbest, op2_quality_nbsvm, op3_chat_preferences, op4_suffix_dedup, op5_cost_packing, op6_backoff_lm, op7_minhash_near_dups, op8_weighted_fingerprints, op9_secret_scan, op10_topk_maxscore)}
 
 _RENDER = "list_aggregate(list_transform({0}, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '')"
 _LEN = "(12 + length(coalesce(x.role, 'unknown')) + 1 + length(coalesce(x.text, '')) + 11)"
