@@ -21,7 +21,7 @@ from ..sources.index import Index
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANGE = "array<struct<line_start:bigint,line_end:bigint>>"
 MATCH = "array<struct<line_no:bigint,line_text:string,line_at:bigint,ranges:array<struct<line_start:bigint,line_end:bigint>>,before:array<string>,after:array<string>>>"
-OPENED, CLOSED = "﷐", "﷑"  # noncharacters
+OPENED, CLOSED = "\ufdd0", "\ufdd1"  # noncharacters
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,6 @@ def _block_matches(request: SearchRequest) -> Column:
     b, a = request.before, request.after
 
     def made(r):
-        head = F.expr("CAST(NULL AS STRING)")
         head = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), r["line_start"].cast("int")), "UTF-8")
         body = F.decode(F.substring(F.encode(text, "UTF-8"), (r["line_start"] + 1).cast("int"), (r["line_end"] - r["line_start"]).cast("int")), "UTF-8")
         feeds = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))

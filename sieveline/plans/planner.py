@@ -102,7 +102,7 @@ def candidates(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
         ids = index.postings.where(F.col("gram").isin(*grams)).select("file_id")
         ids = ids.distinct() if request.ignore_case else ids
     if plan_.blockers:
-        ids = ids.union(index.files.where(F.col("text").contains("K") | F.col("text").contains("ſ")).select("file_id")).distinct()
+        ids = ids.union(index.files.where(F.col("text").contains("\u212a") | F.col("text").contains("\u017f")).select("file_id")).distinct()
     return ids
 
 

@@ -28,8 +28,8 @@ def with_flags(files: DataFrame) -> DataFrame:
             "first_nul": F.when(nul > 0, F.octet_length(F.substring(t, F.lit(1), nul - 1)).cast("long")),
             "is_binary": nul > 0,
             "has_bare_cr": t.rlike("\r(?!\n)"),
-            "has_kelvin": t.contains("K"),
-            "has_long_s": t.contains("ſ"),
+            "has_kelvin": t.contains("\u212a"),
+            "has_long_s": t.contains("\u017f"),
             "hidden": F.col("path").rlike(r"(^|/)\."),
             "ignored": F.col("ignored") if "ignored" in files.columns else F.lit(False),
         }

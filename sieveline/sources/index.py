@@ -56,7 +56,7 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file beside its name and renames it there."""
     fs, new = _fs(spark, path + f".{time.time_ns()}")
     out = fs.create(new, True)
@@ -67,7 +67,7 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(new, at)
 
 
-def _get(spark: SparkSession, path: str) -> str | None:
+def get_text(spark: SparkSession, path: str) -> str | None:
     fs, at = _fs(spark, path)
     if not fs.exists(at):
         return None
@@ -80,7 +80,7 @@ def _get(spark: SparkSession, path: str) -> str | None:
 def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd") -> Index:
     """Builds a new generation and then makes it the one in use."""
     spark = files.sparkSession
-    old = _get(spark, f"{folder}/manifest.json")
+    old = get_text(spark, f"{folder}/manifest.json")
     generation = json.loads(old)["generation"] + 1 if old else 1
     at = f"{folder}/gen={generation}"
     files.write.mode("overwrite").option("compression", codec).parquet(f"{at}/files")
@@ -88,13 +88,13 @@ def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd"
     postings(kept).repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").option("compression", codec).parquet(f"{at}/postings")
     frequencies(spark.read.parquet(f"{at}/postings")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").option("compression", codec).parquet(f"{at}/grams")
     n, size, total = digest(kept).first()
-    _put(spark, f"{folder}/manifest.json", json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "built_at": time.time()}))
+    put_text(spark, f"{folder}/manifest.json", json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "built_at": time.time()}))
     return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str, check: bool = False) -> Index:
     """The generation in use; check: whether its files still have the manifest's digest."""
-    text = _get(spark, f"{folder}/manifest.json")
+    text = get_text(spark, f"{folder}/manifest.json")
     if text is None:
         raise FileNotFoundError(folder)
     manifest = json.loads(text)
@@ -107,7 +107,7 @@ def open_index(spark: SparkSession, folder: str, check: bool = False) -> Index:
 
 def vacuum(spark: SparkSession, folder: str, keep: int = 1) -> list[str]:
     """Deletes generations before the `keep` last ones; says which."""
-    now = json.loads(_get(spark, f"{folder}/manifest.json"))["generation"]
+    now = json.loads(get_text(spark, f"{folder}/manifest.json"))["generation"]
     fs, at = _fs(spark, folder)
     gone = []
     for status in fs.listStatus(at):
