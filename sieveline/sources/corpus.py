@@ -47,7 +47,7 @@ def decoded(content: Column) -> Column:
     """Bytes as text: by their byte order mark, which is dropped, else as UTF-8 with bad
     sequences replaced."""
     return (
-        F.when(F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.make_valid_utf8(F.expr("CAST(substring(content, 4) AS STRING)")))
+        F.when(F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.make_valid_utf8(F.substring(content, 4, 2**31 - 1).cast("string")))
         .when(F.substring(content, 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff")), F.decode(content, "UTF-16"))
         .otherwise(F.make_valid_utf8(content.cast("string")))
     )
