@@ -86,7 +86,8 @@ def _sample(term: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
             r, b = _R[at[many]], _B[at[many]]
             t = np.floor(np.log(weight[many]) / r + b)
             value[many] = _LOG_C[part[many, 3]] - r * (t - b + 1)
-            pair[many] = splitmix(pair[many] + t.astype(np.uint64))
+            # t is 0 for a weight of 1, whose pair is not hashed again
+            pair[many] = np.where(t == 0, pair[many], splitmix(pair[many] + t.astype(np.uint64)))
         order = ((value + _OFFSET) * _SCALE).astype(np.uint64)
         return (order << np.uint64(32)) | (pair >> np.uint64(32))
 
