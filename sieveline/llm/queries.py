@@ -84,3 +84,46 @@ SELECT conv_id, n AS n_common, coalesce({_RENDER.format("pa")}, '') AS prompt, c
   coalesce({_RENDER.format("pr")}, '') AS rejected, coalesce({_SPANS.format("pc")}, '') AS chosen_spans, coalesce({_SPANS.format("pr")}, '') AS rejected_spans
 FROM t""",
 }
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_KINDS = f"[{', '.join(repr(k) for k in secrets.KINDS)}]"
+
+
+def _matches(kind: int, pattern: str, group: int = 0) -> str:
+    """Places of a pattern's matches, from what lies between them and the matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, length(array_to_string(gap[1:i], '')) + length(array_to_string(hit[1:i - 1], '')) AS a, length(hit[i]) AS n, part[i] AS part
+  FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS gap, regexp_extract_all(t, '{p}', 0) AS hit, regexp_extract_all(t, '{p}', {group}) AS part FROM texts WHERE regexp_matches(t, '{p}')), unnest(range(1, len(hit) + 1)) AS x(i)"""
+
+
+_ALLOWED = " OR ".join(f"regexp_full_match(part, '{p}')" for p in secrets.ALLOWED)
+_SPELL = f"string_agg({_KINDS}[kind + 1] || ':' || a::VARCHAR || ':' || b::VARCHAR, ',' ORDER BY a, kind)"
+
+ORACLE |= {
+    "op7_minhash_near_dups": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+classes AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS u, b.id AS v FROM each a JOIN each b ON a.g = b.g AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT id AS u, id AS v FROM classes UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+roots AS (SELECT u, min(v) AS root FROM reach GROUP BY u)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots ON roots.u = classes.id""",
+    "op9_secret_scan": f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({" UNION ALL ".join((_matches(0, secrets.ASSIGN, 1), _matches(1, secrets.ACCESS), _matches(2, "[0-9a-f]+"), _matches(3, "[A-Za-z0-9+/_=-]{20,}")))}),
+judged AS (
+  SELECT *, CASE WHEN regexp_full_match(part, '[0-9a-f]+') THEN {secrets.BOUNDS["hex"]} WHEN regexp_full_match(part, '[0-9a-z+/_=-]+') THEN {secrets.BOUNDS["lower"]} ELSE {secrets.BOUNDS["mixed"]} END AS bound,
+    CASE WHEN kind = 3 THEN list_max(list_transform(range(1, length(part) - 18), lambda i: list_aggregate(string_split(substr(part, i, 20), ''), 'entropy'))) END AS peak
+  FROM hits WHERE CASE kind WHEN 0 THEN length(part) >= 12 WHEN 1 THEN length(part) >= 18 WHEN 2 THEN length(part) >= 16 ELSE regexp_matches(part, '[0-9]') AND NOT ({_ALLOWED}) END),
+spans AS (SELECT doc_id, kind, a, a + n AS b FROM judged WHERE kind < 3 OR peak >= bound - 1e-9),
+spelled AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {_SPELL} FILTER (kind < 3) AS base, {_SPELL} AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN spelled USING (doc_id)""",
+}

@@ -55,11 +55,11 @@ def test_pairs(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name", ["op3_chat_preferences", "op10_topk_maxscore"])
+@pytest.mark.parametrize("name", ["op3_chat_preferences", "op7_minhash_near_dups", "op9_secret_scan", "op10_topk_maxscore"])
 def test_sql_agrees(spark, name):
     top = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{top}/{t}.parquet'")
     df = queries.QUERIES[name](spark, top)
     got = sorted(map(tuple, df.collect()), key=repr)
