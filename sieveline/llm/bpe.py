@@ -7,6 +7,7 @@ and kept in a bounded cache, and the ids of a text are gathered from there.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 
@@ -16,7 +17,7 @@ from .common import buffers, hash_spans, pieces
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _ODD = 0, 1, 2, 3, 4
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_CACHED = 1_500_000
+_CACHED = 300_000
 _ENCODERS: dict[str, "Encoder"] = {}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,10 +72,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))["model"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
@@ -91,6 +90,15 @@ class Encoder:
         self.classes = _classes()
         self.clear()
 
+    @functools.cached_property
+    def slow(self):
+        """The library's own encoder, for what the fast way can't take."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.at = np.zeros(1 << 16, np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -46,6 +48,30 @@ def drop_stored(*frames: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow have freed goes back to the system. Workers live on
+    from task to task, and what one stage has freed may lie in pieces of no use to the
+    next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def lean(fn):
+    """A function of batches that gives memory back when a task ends."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def crc32_of(col) -> "F.Column":
     """CRC-32 of a value's text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

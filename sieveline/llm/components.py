@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, lean, stored
 
 LOCAL = 1_000_000
 
@@ -23,6 +23,7 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
+@lean
 def _resolve(batches):
     """All links of the task: each node but the least of its component, with that."""
     held = [b for b in batches if b.num_rows]

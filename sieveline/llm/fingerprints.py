@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, hash_spans, splitmix, words
+from .common import LOWER, buffers, hash_spans, lean, splitmix, words
 
 SAMPLES, WORDS = 64, 5
 _RNG = np.random.default_rng(31337)
@@ -127,6 +127,7 @@ def edited(text: str, following: str) -> str:
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@lean
 def _compare(batches):
     """Rows come by bucket and id; a row waits for the one after it."""
 

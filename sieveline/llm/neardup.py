@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, drop_stored, hash_spans, pieces, splitmix, stored, words
+from .common import LOWER, buffers, drop_stored, give_back, hash_spans, lean, pieces, splitmix, stored, words
 from .components import roots
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
@@ -103,6 +103,7 @@ def _rows(batches, fn):
     for batch in batches:
         if batch.num_rows:
             yield from fn(batch)
+    give_back()
 
 
 def _describe(batch: pa.RecordBatch):
@@ -176,6 +177,7 @@ def verified_links(nodes: list[bytes], sigs: np.ndarray, sets: list[np.ndarray],
     return links
 
 
+@lean
 def _linked(batches):
     """Rows come ordered by cluster and pair of blocks; links of each group leave."""
     held: list = []

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import lean
 
 LENGTH, END, WINDOW, QUADRATIC = 1024, 0, 8192, 1 / 2048
 
@@ -65,6 +66,7 @@ def pack(lengths: np.ndarray, length: int = LENGTH, quadratic: float = QUADRATIC
 def _packer(path: str, length: int, end: int, window: int, quadratic: float):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    @lean
     def run(batches):
         code = encoder(path)
         next_id = TaskContext.get().partitionId() << 36

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, SEPARATOR, buffers, crc32_of, hash_spans, pieces, splitmix
+from .common import LOWER, SEPARATOR, buffers, crc32_of, hash_spans, lean, pieces, splitmix
 
 BITS, MAX_ROWS, EPOCHS, COST, SMOOTH, PASS = 18, 8000, 12, 4.0, 1.0, 0.7
 _KIND = np.full(256, 3, np.uint8)
@@ -174,6 +174,7 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+@lean
 def _indicators(batches):
     for batch in batches:
         rows = []
@@ -200,6 +201,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         for batch in batches:
             cols = [n for n in batch.schema.names if n != "score"]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, pieces, splitmix
+from .common import buffers, lean, pieces, splitmix
 
 WIDTH, GRAM = 200, 50
 SPAN = WIDTH - GRAM + 1
@@ -108,6 +108,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+@lean
 def _find_anchors(batches):
     """Anchors of each text. Of equal contexts in a batch one stands for all; the others
     are known and need no comparison, so they take a gram of their own."""
@@ -132,6 +133,7 @@ def _find_anchors(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(cut, found)], ["key", "found"])
 
 
+@lean
 def _leads(batches):
     """Leading tokens of some anchors of each text, for the splitters."""
     for batch in batches:
@@ -159,6 +161,7 @@ def _contexts(splitters: np.ndarray, shards: int):
         whole = {"bucket": bucket} | cols
         return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    @lean
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
@@ -292,6 +295,7 @@ def repeated(around: list[bytes], most: np.ndarray, least: np.ndarray) -> tuple[
     return row, first, end - 1
 
 
+@lean
 def _sorted_buckets(batches):
     """Rows come by bucket; each bucket is sorted as a whole. Known spans pass through."""
     schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -343,6 +347,7 @@ def _sorted_buckets(batches):
         yield from flush()
 
 
+@lean
 def _cut(batches):
     """Each text without its spans."""
     for batch in batches:
