@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, hash_spans, pieces
+from .common import buffers, hash_spans, lean, pieces
 
 N_BEST, UNIT, PENALTY = 5, 1 << 20, 10
 SPACE = "▁"
 #: Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM = 1
-_CACHED = 400_000
+_CACHED = 250_000
 _MODELS: dict[tuple, "PieceModel"] = {}
 
 
@@ -98,7 +98,8 @@ class PieceModel:
             rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-scores[i], i)), 1)}
             cost = {i: round(float(np.log(r)) * UNIT) for i, r in rank.items()}
         self.piece = {spelled[i]: (i, cost[i]) for i in plain}
-        self.prefixes = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        self.table = {p[:k]: () for p in self.piece for k in range(1, len(p))} | self.piece  # () for what only begins pieces
+        self.longest = max(map(len, self.piece), default=1)
         self.dear = max(cost.values(), default=0) + PENALTY * UNIT
         joined = {(ord(a) << 21) | ord(b) for p in self.piece for a, b in zip(p, p[1:])}  # noqa: B905
         self.joined = np.array(sorted(joined), np.int64)
@@ -113,32 +114,40 @@ class PieceModel:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.others: list[list] = []  # by slot: (further cost, ids) of what isn't best
-        self.at, self.size, self.cost, self.next = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        # by slot and rank: cost (-1: there is none), number of ids, and where in flat
+        self.cost, self.size, self.at = (np.zeros((1 << 15, self.n), t) for t in (np.int64, np.int32, np.int64))
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def segmentations(self, text: str) -> list[tuple[int, list[int]]]:
         """Cost and pieces (ids; of characters without one, their negated code points less
         1) of up to n segmentations of text, in order."""
-        arcs: list[list] = [[] for _ in range(len(text) + 1)]  # by end
-        best: list[int] = [0] * (len(text) + 1)
-        for i, c in enumerate(text):
-            if i:
-                best[i] = min(best[a] + cost for a, _, cost in arcs[i])
-            for j in range(i + 1, len(text) + 1):
-                part = text[i:j]
-                if part not in self.prefixes:
+        n = len(text)
+        far_off = self.dear * (n + 1)
+        best = [0] + [far_off] * n
+        arcs: list[list] = [[] for _ in range(n + 1)]  # by end: cost through the arc, its cost, piece, start
+        get, longest = self.table.get, self.longest
+        for i in range(n):
+            here = best[i]
+            for j in range(i + 1, min(n, i + longest) + 1):
+                hit = get(text[i:j])
+                if hit is None:
                     break
-                if part in self.piece:
-                    arcs[j].append((i, *self.piece[part]))
-            if c not in self.piece:
-                arcs[i + 1].append((i, -1 - ord(c), self.dear))
-        if text:
-            best[-1] = min(best[a] + cost for a, _, cost in arcs[-1])
+                if hit:
+                    cost = here + hit[1]
+                    arcs[j].append((cost, hit[1], hit[0], i))
+                    if cost < best[j]:
+                        best[j] = cost
+            if not get(text[i]):
+                cost = here + self.dear
+                arcs[i + 1].append((cost, self.dear, -1 - ord(text[i]), i))
+                if cost < best[i + 1]:
+                    best[i + 1] = cost
+        for at in arcs:
+            at.sort()
         out: list = []
-        tick = 0
-        agenda: list = [(best[-1], len(text), 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
-        while agenda and len(out) < self.n:
+        tick, most = 0, self.n
+        agenda: list = [(best[n], n, 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
+        while agenda and most:
             estimate, end, _, far, link = agenda.pop(0)
             if not end:
                 ids = []
@@ -146,16 +155,22 @@ class PieceModel:
                     ids.append(link[0])
                     link = link[1]
                 out.append((estimate, ids))
+                most -= 1
+                del agenda[most:]
                 continue
-            for start, piece, cost in arcs[end]:
-                hope = far + cost + best[start]
-                if len(agenda) < self.n - len(out) or hope < agenda[-1][0]:
-                    tick += 1
-                    insort(agenda, (hope, start, tick, far + cost, (piece, link)))
-                    del agenda[self.n - len(out) :]
+            for through, cost, piece, start in arcs[end]:
+                hope = far + through
+                if len(agenda) >= most:
+                    if hope >= agenda[-1][0]:
+                        break  # as do all that follow
+                    agenda.pop()
+                tick += 1
+                insort(agenda, (hope, start, tick, far + cost, (piece, link)))
         return out
 
     def _ids(self, found: list[int]) -> list[int]:
+        if not found or min(found) >= 0:
+            return found
         out = []
         for p in found:
             if p >= 0:
@@ -168,33 +183,48 @@ class PieceModel:
     def _slots(self, hashes: np.ndarray, spell) -> np.ndarray:
         get = self.slot.get
         out = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
-        for i in np.flatnonzero(out < 0).tolist():
-            (cost, first), *rest = self.segmentations(spell(i))
-            k, ids = len(self.slot), self._ids(first)
-            if k >= len(self.at):
-                self.at, self.size, self.cost, self.next = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.cost, self.next))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.cost[k] = self.used, len(ids), cost
-            self.next[k] = rest[0][0] - cost if rest else -1
-            self.others.append([(c - cost, self._ids(p)) for c, p in rest])
-            self.used += len(ids)
-            self.slot[int(hashes[i])] = k
-            out[i] = k
+        new = np.flatnonzero(out < 0)
+        flat: list[int] = []
+        sizes: list[int] = []
+        costs: list[int] = []
+        for i in new.tolist():
+            found = self.segmentations(spell(i))
+            for cost, p in found:
+                ids = self._ids(p)
+                flat += ids
+                sizes.append(len(ids))
+                costs.append(cost)
+            sizes += [0] * (self.n - len(found))
+            costs += [-1] * (self.n - len(found))
+        first, end = len(self.slot), len(self.slot) + len(new)
+        while end > len(self.cost):
+            self.cost, self.size, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cost, self.size, self.at))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        size = np.array(sizes, np.int64)
+        self.cost[first:end], self.size[first:end] = np.array(costs, np.int64).reshape(-1, self.n), size.reshape(-1, self.n)
+        self.at[first:end] = (self.used + np.cumsum(size) - size).reshape(-1, self.n)
+        self.used += len(flat)
+        out[new] = np.arange(first, end)
+        self.slot.update(zip(hashes[new].tolist(), range(first, end), strict=True))
         return out
 
     def _choices(self, slots: np.ndarray) -> list[tuple[int, tuple]]:
         """The n cheapest choices for a chain of lattices: further cost, and (place, ids)
         of what is not the best there."""
-        more = self.next[slots]
+        if self.n == 1:
+            return [(0, ())]
+        more = np.where(self.cost[slots, 1] < 0, -1, self.cost[slots, 1] - self.cost[slots, 0])
         at = np.flatnonzero(more >= 0)
         if len(at) >= self.n:
             key = (np.minimum(more[at], 1 << 34) << 28) | np.arange(len(at))
             at = at[np.sort(np.argpartition(key, self.n - 1)[: self.n - 1])]
         out: list[tuple[int, tuple]] = [(0, ())]
         for i in at.tolist():
-            every = out + [(cost + extra, (*changed, (i, ids))) for cost, changed in out for extra, ids in self.others[slots[i]]]
+            costs, sizes, begins = (x[slots[i]].tolist() for x in (self.cost, self.size, self.at))
+            others = [(c - costs[0], self.flat[b : b + m]) for c, m, b in zip(costs[1:], sizes[1:], begins[1:], strict=True) if c >= 0]
+            every = out + [(cost + extra, (*changed, (i, ids))) for cost, changed in out for extra, ids in others]
             out = sorted(every, key=lambda x: x[0])[: self.n]
         return out
 
@@ -222,18 +252,18 @@ class PieceModel:
             ends = np.append(starts[1:], len(code)) if len(starts) else starts
             hashes, one, which = np.unique(hash_spans(code, starts, ends), return_index=True, return_inverse=True)
             slots = self._slots(hashes, lambda i: whole[starts[one[i]] : ends[one[i]]])[which] if len(starts) else np.zeros(0, np.int64)  # noqa: B023
-            size = self.size[slots]
+            size = self.size[slots, 0].astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(size)])
-            ids = self.flat[np.arange(upto[-1]) - np.repeat(upto[:-1], size) + np.repeat(self.at[slots], size)]
+            ids = self.flat[np.arange(upto[-1]) - np.repeat(upto[:-1], size) + np.repeat(self.at[slots, 0], size)]
             bound = np.searchsorted(starts, cut)
             for i in range(b - a):
                 s, e = bound[i], bound[i + 1]
-                base, here = int(self.cost[slots[s:e]].sum()), upto[s : e + 1]
+                base, here = int(self.cost[slots[s:e], 0].sum()), upto[s : e + 1]
                 found = []
                 for extra, changed in self._choices(slots[s:e]):
                     parts, at = [], here[0]
                     for place, other in changed:
-                        parts += [ids[at : here[place]], np.array(other, np.int32)]
+                        parts += [ids[at : here[place]], other]
                         at = here[place + 1]
                     parts.append(ids[at : here[-1]])
                     found.append((base + extra, np.concatenate(parts) if changed else parts[0]))
@@ -261,6 +291,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def encoded(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     """doc_id, rank (from 1), score, ids: a row for each of the n best segmentations."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for doc, found in zip(batch.column("doc_id").to_pylist(), model(path, n).encode(batch.column("text")), strict=True):
@@ -280,6 +311,7 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
 def decoded(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and text of each row's ids."""
 
+    @lean
     def run(batches):
         for batch in batches:
             lists = batch.column(1).to_pylist()
@@ -298,6 +330,7 @@ def report(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     ids (unsigned, of little-endian 32-bit ids), scores and CRCs of the n best, and the
     SHA-256 of what the best ids decode to."""
 
+    @lean
     def run(batches):
         own = model(path, n)
         crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
