@@ -11,13 +11,14 @@ where the unigrams and the unknown word are. A text is one traversal from the st
 start, which carries the state and adds up weights. `Automaton` is that, for a model that
 fits in memory.
 
-A corpus's model does not, so its arcs stay distributed. Documents are dealt into blocks of
-bounded bytes. A block sends the distinct n-grams on its paths, hashed, with their counts
-in its training documents, to shards by hash range; a shard adds up the counts of all
-blocks and answers each block in its own order. The block then holds just the arcs that its
+A corpus's model does not, so its arcs stay distributed. A first pass counts the training
+tokens, N, and their distinct words, V. Documents are dealt into blocks of bounded bytes. A
+block sends the distinct n-grams on its paths, hashed, with their counts in its training
+documents, to shards by hash range; a shard adds up the counts of all blocks and answers
+each block that asked it in that block's order. The block then holds just the arcs that its
 texts can take and traverses them all at once, position by position. What is exchanged is
-one entry for each distinct n-gram of a block, so a frequent n-gram costs a shard no more
-than the number of blocks. No n-gram is pruned.
+one entry for each distinct n-gram of a block, in no more messages than entries, so a
+frequent n-gram costs a shard no more than the number of blocks. No n-gram is pruned.
 
 K is the value of STRENGTHS with the greatest leave-one-out likelihood of all training
 tokens.
@@ -34,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, crc32_of, hash_spans, pieces, splitmix, stored, words
+from .common import LOWER, buffers, crc32_of, give_back, hash_spans, lean, pieces, splitmix, stored, words
 
-ORDER, BLOCK_BYTES, SHARD_ENTRIES = 2, 16 << 20, 1 << 20
+ORDER, BLOCK_BYTES, SHARD_ENTRIES = 2, 12 << 20, 1 << 20
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 8192.0, 65536.0, 1e7)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -119,10 +120,68 @@ def _grams(token: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.n
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on: where most are small,
+    long runs of zeros, which a shuffle's compression takes away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _from_planes(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Ascending keys, as planes of their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _cells(keys: np.ndarray, bits: int):
+    """Shard, first and last place of ascending keys, for shards that have some."""
+    if not len(keys):
+        return
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    yield from zip(shard[np.append(0, cuts)].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
+
+
+def _training_words(bits: int):
+    """Distinct words of training texts, and how many tokens there are."""
+
+    @lean
+    def run(batches):
+        held, n = [], 0
+
+        def rows():
+            cells = list(_cells(keys := np.unique(np.concatenate(held)), bits))
+            tokens = [n] + [0] * (len(cells) - 1)
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.int32()), pa.array(tokens, pa.int64()), pa.array([_rising(keys[a:b]) for _, a, b in cells], pa.binary())], ["shard", "tokens", "keys"])
+
+        for batch in batches:
+            token, _ = _tokens(batch.column("text").filter(batch.column("train")))
+            n += len(token)
+            held.append(np.unique(splitmix(token)))
+            if sum(map(len, held)) > 1 << 21:
+                held = [np.unique(np.concatenate(held))]
+                if len(held[0]) > 1 << 20:
+                    yield rows()
+                    held, n = [], 0
+        if n:
+            yield rows()
+
+    return run
+
+
+def _distinct(asked):
+    keys = [np.cumsum(_from_planes(b, np.uint64), dtype=np.uint64) for b in asked.column("keys").to_pylist()]
+    return pa.table({"tokens": pa.array([np.asarray(asked.column("tokens")).sum()], pa.int64()), "kinds": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
+
+
 def _ask(order: int, bits: int):
     names = ["gram_order", "shard", "block", "keys", "counts"]
 
     def run(key, docs):
+        give_back()
         docs = docs.sort_by([("tie", "ascending"), ("doc_id", "ascending")])
         token, bounds = _tokens(docs.column("text"))
         train = np.repeat(np.asarray(docs.column("train")), np.diff(bounds))
@@ -130,9 +189,8 @@ def _ask(order: int, bits: int):
         for k, (at, gram) in enumerate(_grams(token, bounds, order), 1):
             keys, which = np.unique(gram, return_inverse=True)
             counts = np.bincount(which[train[at]], minlength=len(keys)).astype(np.uint32)
-            cut = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-            for s, (a, b) in enumerate(zip(cut, [*cut[1:], len(keys)], strict=True)):
-                for c, v in zip(cols, (k, s, key[0].as_py(), keys[a:b].tobytes(), counts[a:b].tobytes()), strict=True):
+            for s, a, b in _cells(keys, bits):
+                for c, v in zip(cols, (k, s, key[0].as_py(), _rising(keys[a:b]), _planes(counts[a:b])), strict=True):
                     c.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
@@ -140,25 +198,20 @@ def _ask(order: int, bits: int):
 
 
 def _answer(asked):
-    blobs = asked.column("keys").to_pylist()
-    sizes = np.array([len(b) // 8 for b in blobs])
-    keys, which = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
-    del blobs
-    counts = np.frombuffer(b"".join(asked.column("counts").to_pylist()), np.uint32)
-    totals = np.bincount(which, counts, len(keys)).astype(np.int64)
-    mine = totals[which]
-    wide = mine.astype(np.uint32) if len(mine) == 0 or mine.max() < 1 << 32 else mine
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    n = asked.num_rows
+    parts = [np.cumsum(_from_planes(b, np.uint64), dtype=np.uint64) for b in asked.column("keys").to_pylist()]
+    cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    keys, which = np.unique(np.concatenate(parts), return_inverse=True)
+    del parts
+    counts = np.concatenate([_from_planes(b, np.uint32) for b in asked.column("counts").to_pylist()])
+    mine = np.bincount(which, counts, len(keys)).astype(np.int64)[which]
+    wide = mine.astype(np.uint32) if mine.max() < 1 << 32 else mine
     return pa.table(
         {
             "block": asked.column("block"),
             "gram_order": asked.column("gram_order"),
             "shard": asked.column("shard"),
-            "tokens": pa.array(np.full(n, totals.sum())),
-            "kinds": pa.array(np.full(n, (totals > 0).sum())),
-            "width": pa.array(np.full(n, wide.itemsize, np.int32)),
-            "totals": pa.array([wide[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "width": pa.array(np.full(asked.num_rows, wide.itemsize, np.int32)),
+            "totals": pa.array([_planes(wide[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -166,22 +219,22 @@ def _answer(asked):
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, likelihoods array<double>"
 
 
-def _traverse(order: int, strengths: tuple[float, ...]):
+def _traverse(order: int, strengths: tuple[float, ...], total: int, kinds: int):
     def run(docs, answers):
+        give_back()
         docs = docs.sort_by([("tie", "ascending"), ("doc_id", "ascending")])
         token, bounds = _tokens(docs.column("text"))
         held = ~np.asarray(docs.column("train"))
         order_of, shard = np.asarray(answers.column("gram_order")), np.asarray(answers.column("shard"))
         blobs, width = answers.column("totals"), np.asarray(answers.column("width"))
-        first = order_of == 1
-        total, kinds = (int(np.asarray(answers.column(c))[first].sum()) for c in ("tokens", "kinds"))
         counts, starts = [], bounds[:-1]
         for k, (at, gram) in enumerate(_grams(token, bounds, order), 1):
             rows = np.flatnonzero(order_of == k)
             rows = rows[np.argsort(shard[rows])]
-            known = np.concatenate([np.frombuffer(blobs[int(r)].as_py(), np.uint32 if width[r] == 4 else np.int64).astype(np.int64) for r in rows])
             full = np.full(len(token), -1, np.int64)
-            full[at] = known[np.unique(gram, return_inverse=True)[1]]
+            if len(rows):
+                known = np.concatenate([_from_planes(blobs[int(r)].as_py(), np.uint32 if width[r] == 4 else np.int64).astype(np.int64) for r in rows])
+                full[at] = known[np.unique(gram, return_inverse=True)[1]]
             counts.append(full)
         del token, answers, blobs
         one = counts[0]
@@ -239,9 +292,11 @@ def scores(docs: DataFrame, order: int = ORDER, strengths: tuple[float, ...] = S
     dealt = docs.select(
         "doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"), F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("long").alias("block")
     )
+    found_words = dealt.select("text", "train").mapInArrow(_training_words(bits), "shard int, tokens long, keys binary")
+    total, kinds = found_words.groupBy("shard").applyInArrow(_distinct, "tokens long, kinds long").select(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds"))).first()
     asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), "gram_order int, shard int, block long, keys binary, counts binary")
-    answers = asked.groupBy("gram_order", "shard").applyInArrow(_answer, "block long, gram_order int, shard int, tokens long, kinds long, width int, totals binary")
-    found = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_traverse(order, strengths), _OUT), "lm-scores")
+    answers = asked.groupBy("gram_order", "shard").applyInArrow(_answer, "block long, gram_order int, shard int, width int, totals binary")
+    found = stored(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_traverse(order, strengths, total, kinds), _OUT), "lm-scores")
     sums = found.select(*(F.sum(F.get("likelihoods", F.lit(i))).alias(str(i)) for i in range(len(strengths)))).first()
     best = int(np.argmax([x if x is not None else -np.inf for x in sums]))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.get("scores", F.lit(best)).alias("score"), F.lit(strengths[best]).alias("strength"))
