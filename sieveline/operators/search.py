@@ -13,57 +13,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regexes
+from ..functions.arrays import running_starts
 from ..plans import planner
 from ..request import SearchRequest
 from ..sources.corpus import split_lines
 from ..sources.index import Index
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RANGE = "array<struct<line_start:bigint,line_end:bigint>>"
 MATCH = "array<struct<line_no:bigint,line_text:string,line_at:bigint,ranges:array<struct<line_start:bigint,line_end:bigint>>,before:array<string>,after:array<string>>>"
 OPENED, CLOSED = "\ufdd0", "\ufdd1"  # noncharacters
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A request's pattern on columns."""
+    """A request's pattern on columns. found: whether a text holds it; parts: the text cut
+    into what lies before each match (`gap`) and the match (`hit`, null at the end)."""
 
     found: object
-    ranges: object
+    parts: object
+
+    def ranges(self, text: Column) -> Column:
+        return _running(self.parts(text))
 
 
 def _quoted(text: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" if not (c.isalnum() and c.isascii()) else c for c in text)
 
 
-def _running(parts: Column, size) -> Column:
-    """Ranges from the texts between matches and the matches that follow them."""
+def _hit_size(x: Column) -> Column:
+    return F.coalesce(F.octet_length(x["hit"]), F.lit(0))
+
+
+def _starts(parts: Column, size) -> Column:
+    """Where each part begins, counted in `size`."""
+    return running_starts(F.transform(parts, lambda x: (size(x["gap"]) + F.coalesce(size(x["hit"]), F.lit(0))).cast("long")))
+
+
+def _running(parts: Column) -> Column:
+    """Byte ranges of the matches."""
 
-    def step(acc, x):
-        start = acc["at"] + F.octet_length(x["gap"])
-        end = start + size(x)
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("line_start"), end.cast("long").alias("line_end"))))).otherwise(acc["out"]).alias("out"))
+    def placed(x, at):
+        first = at + F.octet_length(x["gap"])
+        return F.struct(first.cast("long").alias("line_start"), (first + _hit_size(x)).cast("long").alias("line_end"), x["hit"].isNotNull().alias("is_hit"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(RANGE).alias("out")), step, lambda acc: acc["out"])
+    hits = F.filter(F.zip_with(parts, _starts(parts, F.octet_length), placed), lambda r: r["is_hit"])
+    return F.transform(hits, lambda r: F.struct(r["line_start"].alias("line_start"), r["line_end"].alias("line_end")))
 
 
-def regex_ranges(line: Column, java: str, empty: bool) -> Column:
-    """Byte ranges of all matches. Where matches may be empty, they are marked in the text
-    and the marks split it; else what lies between matches and matches alternate."""
+def regex_parts(text: Column, java: str, empty: bool) -> Column:
+    """Where matches may be empty, they are marked in the text and the marks split it; else
+    what lies between matches and the matches alternate."""
     if empty:
-        marked = F.split(F.regexp_replace(line, java, f"{OPENED}$0{CLOSED}"), f"[{OPENED}{CLOSED}]", -1)
-        odd = F.filter(marked, lambda x, i: i % 2 == 1)
-        return _running(F.arrays_zip(F.filter(marked, lambda x, i: i % 2 == 0).alias("gap"), odd.alias("hit")), lambda x: F.coalesce(F.octet_length(x["hit"]), F.lit(0)))
-    zipped = F.arrays_zip(F.split(line, java, -1).alias("gap"), F.regexp_extract_all(line, F.lit(java), F.lit(0)).alias("hit"))
-    return _running(zipped, lambda x: F.coalesce(F.octet_length(x["hit"]), F.lit(0)))
+        marked = F.split(F.regexp_replace(text, java, f"{OPENED}$0{CLOSED}"), f"[{OPENED}{CLOSED}]", -1)
+        return F.arrays_zip(F.filter(marked, lambda x, i: i % 2 == 0).alias("gap"), F.filter(marked, lambda x, i: i % 2 == 1).alias("hit"))
+    return F.arrays_zip(F.split(text, java, -1).alias("gap"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("hit"))
 
 
-def literal_ranges(line: Column, literal: str) -> Column:
-    """Byte ranges of a literal, leftmost and non-overlapping."""
-    gaps = F.split(line, _quoted(literal), -1)
-    n = len(literal.encode())
-    zipped = F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), F.when(i < F.size(gaps) - 1, F.lit(1)).alias("hit")))
-    return _running(zipped, lambda x: F.when(x["hit"].isNotNull(), n).otherwise(0))
+def literal_parts(text: Column, literal: str) -> Column:
+    """Leftmost, non-overlapping; a gap that another follows is followed by a match."""
+    gaps = F.split(text, _quoted(literal), -1)
+    return F.zip_with(gaps, F.slice(gaps, 2, 2**30), lambda g, after: F.struct(g.alias("gap"), F.when(after.isNotNull(), F.lit(literal)).alias("hit")))
 
 
 def fold(text: Column) -> Column:
@@ -73,34 +82,33 @@ def fold(text: Column) -> Column:
 
 def compiled(request: SearchRequest) -> Pattern:
     if request.literal and not request.ignore_case:
-        return Pattern(lambda t: t.contains(request.pattern), lambda t: literal_ranges(t, request.pattern))
+        return Pattern(lambda t: t.contains(request.pattern), lambda t: literal_parts(t, request.pattern))
     if request.literal and request.pattern.isascii() and not set(request.pattern.lower()) & set("ks"):
         low = request.pattern.lower()
-        return Pattern(lambda t: fold(t).contains(low), lambda t: literal_ranges(fold(t), low))
+        return Pattern(lambda t: fold(t).contains(low), lambda t: literal_parts(fold(t), low))
     if request.literal:
         java, empty = f"(?iu){_quoted(request.pattern)}", not request.pattern
     else:
         java = regexes.to_java(request.pattern, request.ignore_case)
         empty = regexes.nullable(regexes.parse(request.pattern, request.ignore_case))
-    return Pattern(lambda t: t.rlike(java), lambda t: regex_ranges(t, java, empty))
+    return Pattern(lambda t: t.rlike(java), lambda t: regex_parts(t, java, empty))
 
 
 def _line_matches(request: SearchRequest) -> Column:
     pattern = compiled(request)
     lines = F.col("lines")
-    numbered = F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: pattern.found(x["l"]))
+    placed = F.zip_with(lines, F.col("line_starts"), lambda l, at: F.struct(l.alias("l"), at.alias("at")))
+    numbered = F.filter(F.transform(placed, lambda x, i: F.struct(x["l"].alias("l"), x["at"].alias("at"), i.alias("i"))), lambda x: pattern.found(x["l"]))
     b, a = request.before, request.after
     none = F.array().cast("array<string>")
     strip = lambda l: F.regexp_replace(l, "\r$", "")
 
     def made(x):
         i = x["i"]
-        size = lambda acc, l: acc + F.octet_length(l) + 1
-        start = F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0).cast("long"), lambda acc, l: (size(acc, l)).cast("long"))
         before = F.transform(F.slice(lines, F.greatest(i - b, F.lit(0)) + 1, F.least(i, F.lit(b))), strip) if b else none
         after = F.transform(F.slice(lines, i + 2, F.lit(a)), strip) if a else none
         return F.struct(
-            (i + 1).cast("long").alias("line_no"), strip(x["l"]).alias("line_text"), start.alias("line_at"), pattern.ranges(x["l"]).alias("ranges"), before.alias("before"), after.alias("after")
+            (i + 1).cast("long").alias("line_no"), strip(x["l"]).alias("line_text"), x["at"].alias("line_at"), pattern.ranges(x["l"]).alias("ranges"), before.alias("before"), after.alias("after")
         )
 
     return F.transform(numbered, made).cast(MATCH)
@@ -109,17 +117,23 @@ def _line_matches(request: SearchRequest) -> Column:
 def _block_matches(request: SearchRequest) -> Column:
     """Matches over line ends: each is placed by the feeds before it."""
     pattern = compiled(request)
-    text, lines = F.col("text"), F.col("lines")
+    lines = F.col("lines")
     b, a = request.before, request.after
+    none = F.array().cast("array<string>")
+    feeds = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    parts = pattern.parts(F.col("text"))
+    whole = F.arrays_zip(parts.alias("part"), _starts(parts, F.octet_length).alias("at"), _starts(parts, feeds).alias("fed"))
 
-    def made(r):
-        head = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), r["line_start"].cast("int")), "UTF-8")
-        body = F.decode(F.substring(F.encode(text, "UTF-8"), (r["line_start"] + 1).cast("int"), (r["line_end"] - r["line_start"]).cast("int")), "UTF-8")
-        feeds = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-        i, n = feeds(head), feeds(F.regexp_replace(body, "\n$", "")) + 1
-        at = r["line_start"] - F.octet_length(F.substring_index(head, "\n", -1))
-        inner = F.struct((r["line_start"] - at).alias("line_start"), (r["line_end"] - at).alias("line_end"))
-        none = F.array().cast("array<string>")
+    def placed(x):
+        gap, hit = x["part"]["gap"], x["part"]["hit"]
+        start = x["at"] + F.octet_length(gap)
+        # a last feed of the match ends its last line and opens none
+        n = feeds(F.regexp_replace(hit, "\n$", "")) + 1
+        return F.struct(start.alias("start"), F.octet_length(hit).alias("size"), (x["fed"] + feeds(gap)).cast("int").alias("i"), n.cast("int").alias("n"))
+
+    def made(x):
+        i, n, at = x["i"], x["n"], F.get(F.col("line_starts"), x["i"])
+        inner = F.struct((x["start"] - at).alias("line_start"), (x["start"] - at + x["size"]).alias("line_end"))
         return F.struct(
             (i + 1).cast("long").alias("line_no"),
             F.array_join(F.slice(lines, i + 1, n), "\n").alias("line_text"),
@@ -129,7 +143,8 @@ def _block_matches(request: SearchRequest) -> Column:
             (F.slice(lines, i + n + 1, F.lit(a)) if a else none).alias("after"),
         )
 
-    return F.transform(F.filter(pattern.ranges(text), lambda r: r["line_end"] > r["line_start"]), made).cast(MATCH)
+    hits = F.transform(F.filter(whole, lambda x: F.octet_length(x["part"]["hit"]) > 0), placed)
+    return F.transform(hits, made).cast(MATCH)
 
 
 def matches(files: DataFrame, request: SearchRequest) -> DataFrame:
@@ -138,6 +153,8 @@ def matches(files: DataFrame, request: SearchRequest) -> DataFrame:
     pattern = compiled(request)
     seen = planner.visible(files, request).where(pattern.found(F.col("text")) & ~F.col("text").contains("\x00"))
     ready = seen.select("file_id", "path", "text", split_lines(F.col("text")).alias("lines"))
+    starts = running_starts(F.transform("lines", lambda l: (F.octet_length(l) + 1).cast("long")))
+    ready = ready.withColumn("line_starts", starts)
     found = ready.select("file_id", "path", F.explode(_block_matches(request) if request.multiline else _line_matches(request)).alias("m"))
     whole = F.transform(
         F.col("m.ranges"),

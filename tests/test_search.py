@@ -243,3 +243,20 @@ def test_comparisons(spark):
     assert compare.rollup(out).first() == (2, 1, 0, 2, 1, False) and compare.rollup(out.limit(1)).first().passed
     d = lambda rows: compare.digest_of(spark.createDataFrame(rows, "g int, v string"), ["g"], "v").first().digest
     assert d([(1, "ab"), (1, "c")]) == d([(1, "c"), (1, "ab")]) != d([(1, "a"), (1, "bc")])
+
+
+def test_long_files_and_lines(spark):
+    from sieveline.functions.arrays import running_starts
+
+    sizes = [[], [3], list(range(127)), list(range(128)), list(range(129)), list(range(1000))]
+    got = spark.createDataFrame([(x,) for x in sizes], "n array<bigint>").select("n", running_starts(F.col("n")).alias("s")).collect()
+    assert all(r.s == [sum(r.n[:i]) for i in range(len(r.n))] for r in got)
+    text = "é needle " * 700 + "\n" + "".join(f"line {i} needle\n" for i in range(3000))
+    files = spark.createDataFrame([(1, "a", text)], "file_id long, path string, text string")
+    found = search.occurrences(search.search(request("needle"), files=files).found).collect()
+    data = text.encode()
+    assert sorted((r.abs_start, r.abs_end) for r in found) == [(m.start(), m.end()) for m in re.finditer(b"needle", data)]
+    found = search.search(request("needle\nline [0-9]+", literal=False, multiline=True, context=1), files=files).found.collect()
+    want = [(m.start(), m.end()) for m in re.finditer(rb"needle\nline [0-9]+", data)]
+    assert sorted((r.ranges[0].abs_start, r.ranges[0].abs_end) for r in found) == want and len(want) > 1000
+    assert all(r.line_no == data[: r.ranges[0].abs_start].count(b"\n") + 1 and len(r.before) <= 1 for r in found)
