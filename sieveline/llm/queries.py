@@ -96,7 +96,7 @@ def _matches(kind: int, pattern: str, group: int = 0) -> str:
   FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS gap, regexp_extract_all(t, '{p}', 0) AS hit, regexp_extract_all(t, '{p}', {group}) AS part FROM texts WHERE regexp_matches(t, '{p}')), unnest(range(1, len(hit) + 1)) AS x(i)"""
 
 
-_ALLOWED = " OR ".join(f"regexp_full_match(part, '{p}')" for p in secrets.ALLOWED)
+_ALLOWED = " OR ".join(f"regexp_full_match(part, '{p.replace("}+", "}")}')" for p in secrets.ALLOWED)
 _SPELL = f"string_agg({_KINDS}[kind + 1] || ':' || a::VARCHAR || ':' || b::VARCHAR, ',' ORDER BY a, kind)"
 
 ORACLE |= {

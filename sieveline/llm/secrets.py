@@ -18,17 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_starts
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: UUIDs; digits and signs alone (dates, telephone numbers); paths of plain words.
+#: UUIDs; digits and signs alone (dates, telephone numbers); paths of plain words, whose
+#: loop is possessive, as the JVM takes a stack frame for each round of another.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[0-9+/_=-]+",
-    r"/?([a-z]+[0-9]{0,4}[/_=-]){2,}[a-z]*[0-9]{0,4}",
+    r"/?([a-z]+[0-9]{0,4}[/_=-]){2,}+[a-z]*[0-9]{0,4}",
 )
 #: Least entropy in bits of a window of WINDOW characters, by class.
 BOUNDS = {"hex": 2.8, "lower": 3.7, "mixed": 3.6}
@@ -44,18 +47,16 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("part")
     )
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull()
-        if keep is not None:
-            good = good & keep(x["part"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    starts = running_starts(F.transform(hits, lambda x: size(x).cast("long")))
+
+    def placed(x, at):
+        good = x["hit"].isNotNull() & (F.lit(True) if keep is None else keep(x["part"]))
+        return F.struct((at + F.length(x["gap"])).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + size(x)).cast("int").alias("end"), good.alias("good"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    found = F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    found = F.filter(F.zip_with(hits, starts, placed), lambda x: x["good"])
+    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def _plogp(c: Column) -> Column:
@@ -65,7 +66,9 @@ def _plogp(c: Column) -> Column:
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of a window of s; s over ALPHABET."""
     codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(0)).alias("old"), i.alias("i")))
+    late = F.concat(F.array_repeat(F.lit(0), window), codes)
+    both = F.filter(F.zip_with(codes, late, lambda c, old: F.struct(c.alias("new"), old.alias("old"))), lambda x: x["new"].isNotNull())
+    pairs = F.transform(both, lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), i.alias("i")))
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
 
     def step(acc, x):
