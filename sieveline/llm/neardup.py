@@ -32,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, buffers, drop_stored, give_back, hash_spans, lean, pieces, splitmix, stored, words
@@ -211,31 +211,44 @@ def _linked(batches):
         yield from flush()
 
 
+def _label(doc_id: Column, node: Column) -> Column:
+    """A class's name: 8 bytes that sort as its least id does, a null one last, and its
+    hash. The least name of a component then holds the component's least id."""
+    ordered = F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    return F.concat(F.coalesce(ordered, F.lit(b"\xff" * 8)), node)
+
+
+def _id_of(label: Column) -> Column:
+    first = F.substring(label, 1, 8)
+    number = F.conv(F.hex(first), 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.when(first != F.lit(b"\xff" * 8), number.cast("long"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
     seen = stored(keyed.mapInArrow(lambda it: _rows(it, _describe), "doc_id long, tkey long, n_shingles long, node binary, sig binary"), "shingles")
-    classes = stored(seen.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("of"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    each = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "tkey")).alias("of"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(each.select(_label(F.col("id"), F.col("node")).alias("node"), F.col("node").alias("hash"), "of", "n", "sig"), "classes")
     bands = classes.select("node", "sig").mapInArrow(lambda it: _rows(it, _keyed), "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot <> most").drop("most")
     ties = roots(bands.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct())
     members = ties.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
-    members = members.join(classes, "node")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(classes.drop("hash"), "node")
+    # stored, so that the join has a shuffle on either side and a large cluster can be split
+    sizes = stored(members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "clusters")
     asked = members.join(sizes, "cluster").select("node", "cluster", "blocks", "sig", F.col("of.doc_id").alias("of_id"), F.col("of.tkey").alias("of_key"))
     texts = keyed.join(asked, keyed.doc_id.eqNullSafe(asked.of_id) & (keyed.tkey == asked.of_key)).select("node", "cluster", "blocks", "sig", "text")
     sets = texts.mapInArrow(lambda it: _rows(it, _with_sets), "node binary, cluster binary, blocks int, sig binary, shingles binary")
     own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sig", "shingles", "block")
     links = roots(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_linked, "u binary, v binary"))
-    named = seen.select("doc_id", "n_shingles", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    drop_stored(ties, classes)
-    return named.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("least", "doc_id"), F.lit(True)).alias("kept")
-    )
+    named = classes.select("node", "hash").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(F.col("hash").alias("node"), _id_of(F.coalesce("root", "node")).alias("least"))
+    component = F.coalesce("least", "doc_id")
+    out = seen.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    drop_stored(ties, sizes)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

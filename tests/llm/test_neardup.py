@@ -51,7 +51,7 @@ def made(seed):
         out.append(" ".join(base))
     out += ["", None, " \n ", "one", "ONE", "one two three", "one two  three", "a b c d e", "a b c d e f"]
     r.shuffle(out)
-    return [(i * 3 + 1, t) for i, t in enumerate(out)]
+    return [(i * 3 - 50, t) for i, t in enumerate(out)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
