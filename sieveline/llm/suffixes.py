@@ -11,15 +11,18 @@ begin at anchors are sorted.
    A context is what its windows cover; contexts met twice (by 128 bits of two hashes, the
    gram's and the whole's) are known to repeat, first within a task, then over all.
 2. One of each context that shares its gram with others is dealt out by range: splitters
-   from a sample of leading tokens (8 bytes) bound the buckets.
+   from a sample of leading tokens (8 bytes) bound the buckets; where the sample has too few
+   for the input's size, the next 40 bytes deal a range out further.
 3. A bucket is sorted by multikey quicksort, 8 bytes a key, and neighbours give the
    longest common prefixes; what precedes the anchors is sorted in the same way within
    equal grams. A window, o bytes before its anchor and WIDTH - o after, repeats when
    another row is in its class of both.
 4. Equal leading tokens share a bucket, so nothing reaches over a boundary, but for grams
-   met in more than HOT contexts: one bucket can't be trusted to hold those. Their windows
-   are compared across all boundaries, by 128-bit digests dealt over as many shards as the
-   input needs.
+   met in more than HOT contexts, or in so many texts that a sample shows it (COMMON): one
+   bucket can't be trusted to hold those. Their windows are compared across all boundaries,
+   by 128-bit digests dealt over as many shards as the input needs; of equal digests in a
+   batch one is sent, so a window that very many texts share is no single shard's. What the
+   sample shows decides only which way an anchor goes, not what is found.
 5. Spans go back to the texts by the texts' digest.
 
 Cases: a null text is empty; texts shorter than WIDTH lose nothing; repeated rows repeat
@@ -44,11 +47,13 @@ SPAN = WIDTH - GRAM + 1
 PART = (1 << 20) - WIDTH  # windows looked at at once
 HOT = 60_000
 BUCKET = 40_000
+SAMPLE, COMMON = 1500, 15  # texts looked at first, and in how many of them a gram is common
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = splitmix(np.arange(256, dtype=np.uint64))
 KNOWN, SEND, FLOOD = 1, 2, 4  # what is to do with an anchor
+HEAD, AGAIN, SHARED = 1, 2, 4  # first or later of equal contexts in a batch; of a common gram
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -108,39 +113,51 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-@lean
-def _find_anchors(batches):
+def _find_anchors(common: np.ndarray):
     """Anchors of each text. Of equal contexts in a batch one stands for all; the others
-    are known and need no comparison, so they take a gram of their own."""
-    for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        row, at, most, least, gram, context = anchors(data, offsets)
-        place = (at << 16) | (most << 8) | least
-        n = len(row)
-        order = np.lexsort((np.arange(n), context, gram))
-        equal = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
-        kind = np.zeros(n, np.int32)
-        if n:
-            kind[order[1:][equal]] = 2
-            heads = order[:-1][equal]
-            kind[heads[kind[heads] == 0]] = 1
-        known = kind == 2
-        with np.errstate(over="ignore"):
-            gram = np.where(known, splitmix(context + np.arange(n, dtype=np.uint64) + place.astype(np.uint64)), gram)
-        cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-        fields = [pa.array(place), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(kind)]
-        found = pa.StructArray.from_arrays(fields, ["place", "gram", "context", "kind"])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(cut, found)], ["key", "found"])
+    are known and need no comparison, so they take a gram of their own, as do anchors of
+    common grams, which are compared in another way."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            row, at, most, least, gram, context = anchors(data, offsets)
+            place = (at << 16) | (most << 8) | least
+            n = len(row)
+            order = np.lexsort((np.arange(n), context, gram))
+            equal = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+            kind = np.zeros(n, np.int32)
+            if n:
+                kind[order[1:][equal]] = AGAIN
+                heads = order[:-1][equal]
+                kind[heads[kind[heads] == 0]] = HEAD
+                kind[(kind != AGAIN) & np.isin(gram, common)] |= SHARED
+            alone = kind >= AGAIN
+            with np.errstate(over="ignore"):
+                gram = np.where(alone, splitmix(context + np.arange(n, dtype=np.uint64) + place.astype(np.uint64)), gram)
+            cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            fields = [pa.array(place), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(kind)]
+            found = pa.StructArray.from_arrays(fields, ["place", "gram", "context", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(cut, found)], ["key", "found"])
+
+    return run
 
 
 @lean
-def _leads(batches):
-    """Leading tokens of some anchors of each text, for the splitters."""
+def _sampled(batches):
+    """Of sampled texts, leading tokens of some anchors, for the splitters, and the grams
+    of each text, for the common ones."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        row, at, *_ = anchors(data, offsets)
+        row, at, _, _, gram, _ = anchors(data, offsets)
         at = (at + offsets[row])[:: max(1, len(row) // (16 * batch.num_rows) if batch.num_rows else 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(_words(data, at, 1)[:, 0].view(np.int64))], ["lead"])
+        leads = _words(data, at, 1)[:, 0]
+        order = np.lexsort((gram, row))
+        new = np.ones(len(order), bool)
+        new[1:] = (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1])
+        values = np.concatenate([leads, gram[order[new]]]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)) >= len(leads)), pa.array(values)], ["is_gram", "value"])
 
 
 def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -152,9 +169,10 @@ def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 _RECORD = np.dtype([("key", "V16"), ("start", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
-def _contexts(splitters: np.ndarray, shards: int):
-    """Known spans of each text, merged; contexts to compare; and of hot grams, records of
-    all windows, a row for each shard, under negative bucket numbers."""
+def _contexts(splitters: np.ndarray, deal: int, shards: int):
+    """Known spans of each text, merged; contexts to compare, each range of them dealt out
+    to `deal` buckets; and of hot grams, records of all windows, a row for each shard, under
+    negative bucket numbers. Windows met twice in the batch are known."""
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("around", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def rows(n, bucket, **cols):
@@ -189,21 +207,51 @@ def _contexts(splitters: np.ndarray, shards: int):
             for i in range(0, len(sent), 20_000):
                 w = sent[i : i + 20_000]
                 here = at[w] + offsets[row[w]]
-                bucket = np.searchsorted(splitters, _words(data, here, 1)[:, 0], "right")
+                lead = _words(data, here, 6)
+                bucket = np.searchsorted(splitters, lead[:, 0], "right")
+                if deal > 1:
+                    with np.errstate(over="ignore"):
+                        mixed = splitmix((lead * _BYTE[:6]).sum(axis=1, dtype=np.uint64))
+                    bucket = bucket * deal + (mixed % np.uint64(deal)).astype(np.int64)
                 around = [raw[a:b] for a, b in zip((here - most[w]).tolist(), (here - least[w] + WIDTH).tolist(), strict=True)]
                 yield rows(len(w), bucket, key=keys.take(pa.array(row[w])), at=at[w], most=most[w], least=least[w], around=around)
 
             flood = np.flatnonzero(act & FLOOD)
+            seen: set[bytes] = set()
             for i in range(0, len(flood), 2_000):
                 w = flood[i : i + 2_000]
                 size = most[w] - least[w] + 1
                 which = np.repeat(w, size)
                 start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat((at - most)[w], size)
-                record = np.empty(len(which), _RECORD)
-                record["key"] = np.frombuffer(b"".join(keys[int(r)].as_py() for r in row[which]), "V16")
-                record["start"] = start
                 begin = start + offsets[row[which]]
-                two = np.frombuffer(b"".join(hashlib.blake2b(raw[q : q + WIDTH], digest_size=16).digest() for q in begin.tolist()), np.uint64).reshape(-1, 2)
+                digests = [hashlib.blake2b(raw[q : q + WIDTH], digest_size=16).digest() for q in begin.tolist()]
+                first = np.ones(len(which), bool)
+                met = np.zeros(len(which), bool)  # again in this batch
+                place_of: dict[bytes, int] = {}
+                for j, digest in enumerate(digests):
+                    if digest in place_of:
+                        first[j], met[j], met[place_of[digest]] = False, True, True
+                    else:
+                        place_of[digest] = j
+                        if digest in seen:
+                            first[j], met[j] = False, True
+                if len(seen) > 300_000:
+                    seen.clear()  # what is forgotten is sent once more
+                seen.update(place_of)
+                again = np.flatnonzero(met)
+                if len(again):
+                    apart = np.concatenate([[True], (row[which[again]][1:] != row[which[again]][:-1]) | (start[again][1:] > start[again][:-1] + WIDTH)])
+                    head = np.flatnonzero(apart)
+                    last = np.append(head[1:], len(again)) - 1
+                    r = row[which[again[head]]]
+                    yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=start[again[head]], stop=start[again[last]] + WIDTH)
+                one = np.flatnonzero(first)
+                if not len(one):
+                    continue
+                record = np.empty(len(one), _RECORD)
+                record["key"] = np.frombuffer(b"".join(keys[int(r)].as_py() for r in row[which[one]]), "V16")
+                record["start"] = start[one]
+                two = np.frombuffer(b"".join(digests[j] for j in one.tolist()), np.uint64).reshape(-1, 2)
                 record["a"], record["b"] = two[:, 0], two[:, 1]
                 shard = (two[:, 0] % np.uint64(shards)).astype(np.int64)
                 by = np.argsort(shard, kind="stable")
@@ -384,7 +432,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(v) for v in out.values())], ["key", *out])
 
 
-def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET, common: int = COMMON) -> DataFrame:
     """key (the text's MD5), n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes
     that remain, as text; a character cut in two is left out) of each distinct text."""
     # the key is never null and n goes along everywhere, so that all three readers of the
@@ -393,11 +441,15 @@ def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFr
     keyed = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(key.alias("key"), "text")
     texts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     rows, total = keyed.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    sample = keyed.select("text").sample(min(1.0, 1500 / max(rows, 1)), seed=7)
-    leads = np.sort(np.array([r[0] for r in sample.mapInArrow(_leads, "lead long").collect()], np.int64).view(np.uint64))
-    want = max(1, min(len(leads), total // (76 * bucket)))
-    splitters = np.unique(leads[(np.arange(1, want) * len(leads)) // want]) if want > 1 else np.zeros(0, np.uint64)
-    found = texts.mapInArrow(_find_anchors, "key binary, found array<struct<place:long,gram:long,context:long,kind:int>>")
+    sample = keyed.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).mapInArrow(_sampled, "is_gram boolean, value long")
+    sampled = sample.groupBy("is_gram", "value").count().where(F.col("is_gram") & (F.col("count") >= common) | ~F.col("is_gram")).collect()
+    shared = np.array([r.value for r in sampled if r.is_gram], np.int64).view(np.uint64)
+    leads = np.sort(np.array([r.value for r in sampled if not r.is_gram for _ in range(r["count"])], np.int64).view(np.uint64))
+    want = max(1, total // (76 * bucket))
+    ranges = max(1, min(len(leads), want))
+    splitters = np.unique(leads[(np.arange(1, ranges) * len(leads)) // ranges]) if ranges > 1 else np.zeros(0, np.uint64)
+    deal = -(-want // (len(splitters) + 1))
+    found = texts.mapInArrow(_find_anchors(shared), "key binary, found array<struct<place:long,gram:long,context:long,kind:int>>")
     each = found.select("key", F.explode("found").alias("x")).select("key", "x.*")
     gram, context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
     seen = (
@@ -406,12 +458,12 @@ def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFr
         .withColumn("others", F.min("context").over(gram) != F.max("context").over(gram))
         .withColumn("kinds", F.count_if(F.col("i") == 1).over(gram))
     )
-    known = F.when((F.col("kind") > 0) | (F.col("m") > 1), KNOWN).otherwise(0)
-    rival = F.when(F.col("others") & (F.col("i") == 1), F.when(F.col("kinds") > hot, FLOOD).otherwise(SEND)).otherwise(0)
+    known = F.when((F.col("kind").bitwiseAND(HEAD | AGAIN) > 0) | (F.col("m") > 1), KNOWN).otherwise(0)
+    rival = F.when(F.col("kind") >= SHARED, FLOOD).when(F.col("others") & (F.col("i") == 1), F.when(F.col("kinds") > hot, FLOOD).otherwise(SEND)).otherwise(0)
     todo = seen.select("key", "place", (known + rival).cast("int").alias("act")).where("act > 0")
     listed = todo.groupBy("key").agg(F.collect_list(F.struct("place", "act")).alias("todo"))
     contexts = texts.join(listed, "key").mapInArrow(
-        _contexts(splitters, max(16, total >> 20)), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
+        _contexts(splitters, deal, max(16, total >> 20)), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
     )
     spans = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "key binary, start long, stop long")
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

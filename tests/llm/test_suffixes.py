@@ -41,13 +41,13 @@ def made(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "hot", "bucket"), [(1, suffixes.HOT, suffixes.BUCKET), (2, 2, 50), (3, 10, 300)])
-def test_equals_brute_force(spark, seed, hot, bucket):
+@pytest.mark.parametrize(("seed", "hot", "bucket", "common"), [(1, suffixes.HOT, suffixes.BUCKET, suffixes.COMMON), (2, 2, 50, 99), (3, 10, 300, 2), (5, 60, 1, 3), (6, 60, 40, 1)])
+def test_equals_brute_force(spark, seed, hot, bucket, common):
     texts = made(seed)
     want = brute([(t or "").encode() for t in texts])
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], FULL).repartition(5)
     key = "unhex(md5(encode(coalesce(text, ''), 'UTF-8')))"
-    cut = suffixes.cut_repeats(docs, hot, bucket).drop("kept")
+    cut = suffixes.cut_repeats(docs, hot, bucket, common).drop("kept")
     got = docs.selectExpr("doc_id", f"{key} AS key").join(cut, "key").orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == want
 
