@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import globs
-from .operators import compare, freshness, present, search, trace
+from .operators import compare, freshness, present, search, serving, trace
 from .plans import planner
 from .request import SearchRequest
 from .sources import corpus, index
@@ -338,6 +338,29 @@ def benchmark_search(spark, sf_dir):
     return lines_of(search.search(literal(), files=own).found)
 
 
+def next_page(spark, sf_dir):
+    """The second page of 25 lines, and the sign of a third."""
+    found = search.search(literal(), files=files(spark, sf_dir)).found
+    last = search.in_order(found).limit(LIMIT).select("path", "line_no").collect()
+    return serving.page(found, LIMIT, tuple(last[-1]) if last else None).select("path", "line_no", "is_more")
+
+
+def path_lookup(spark, sf_dir):
+    """Files of the paths that a listing names, of which some don't exist."""
+    named = feed(spark, sf_dir).select("path")
+    docs = base_files(spark, sf_dir).select("path", F.xxhash64("path").alias("file_id"))
+    return serving.looked_up(named, docs).select("path", "n_files")
+
+
+def current_search(spark, sf_dir):
+    """A search over the index with changes: every tenth document is dirty, every
+    twentieth gone, and the others have a line more."""
+    own = built(spark, sf_dir)
+    dirty = own.files.where("file_id % 10 = 0").select("path", F.lit(1).cast("long").alias("generation"), (F.col("file_id") % 20 == 0).alias("tombstone"))
+    changed = own.files.where("file_id % 10 = 0").withColumn("text", F.concat(F.lit(RARE + " new\n"), "text"))
+    return serving.search_current(literal(RARE), own, changed, dirty).select("path", "line_no", "line_text")
+
+
 def pages_search(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("file_id"), F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("text"))
     return search.occurrences(search.search(literal("</p>"), files=own).found)
@@ -355,6 +378,7 @@ QUERIES = {
     "event_gap_complement": event_gap_complement, "event_timeline": event_timeline, "tool_pairing": tool_pairing, "latency_percentiles": latency_percentiles, "usage_rollup": usage_rollup, "argument_signatures": argument_signatures,
     "dirty_set": dirty_set, "dirty_ack": dirty_ack, "dirty_refresh": dirty_refresh, "dirty_stream": dirty_stream, "newest_files": newest_files, "render_lines": render_lines, "render_by_file": render_by_file,
     "truncate_budget": truncate_budget, "fallback_reasons": fallback_reasons, "benchmark_search": benchmark_search, "pages_search": pages_search,
+    "next_page": next_page, "path_lookup": path_lookup, "current_search": current_search,
 }
 
 _FILES = """files AS (
@@ -545,4 +569,9 @@ SELECT path, max(generation) AS generation, arg_max(tombstone, generation) AS to
     "newest_files": f"WITH {_FILES} SELECT path, strlen(text)::BIGINT AS modified FROM files ORDER BY modified, path LIMIT 100",
     "benchmark_search": _literal_lines(LITERAL, of="files AS (SELECT item_id AS file_id, 'item/' || item_id::VARCHAR AS path, text FROM benchmark)"),
     "pages_search": _literal_spans("</p>", of="files AS (SELECT page_id AS file_id, 'page/' || page_id::VARCHAR AS path, html AS text FROM pages)"),
+    "next_page": f"""WITH {_literal_hits(LITERAL)}, r AS (SELECT path, line_no, row_number() OVER (ORDER BY path, line_no) AS k FROM hits)
+SELECT path, line_no, k > {2 * LIMIT} AS is_more FROM r WHERE k > {LIMIT} AND k <= {2 * LIMIT + 1}""",
+    "path_lookup": f"WITH {_DIRTY} SELECT d.path, count(b.path) AS n_files FROM dirty d LEFT JOIN base b ON b.path = d.path GROUP BY d.path",
+    "current_search": f"""WITH {_lines(_FILES.replace("text", f"CASE WHEN doc_id % 10 = 0 THEN '{RARE} new' || chr(10) || text ELSE text END AS text", 1))}
+SELECT path, line_no, line AS line_text FROM lines WHERE file_id % 20 <> 0 AND contains(line, '{RARE}')""",
 }
