@@ -18,8 +18,9 @@ begin at anchors are sorted.
    equal grams. A window, o bytes before its anchor and WIDTH - o after, repeats when
    another row is in its class of both.
 4. Equal leading tokens share a bucket, so nothing reaches over a boundary, but for grams
-   met in more than HOT contexts, or in so many texts that a sample shows it (COMMON): one
-   bucket can't be trusted to hold those. Their windows are compared across all boundaries,
+   met in more than HOT contexts, or in so many texts of a sample (COMMON at least) that they
+   must be in more than HOT of all: one bucket can't be trusted to hold those, nor one task
+   to count them. Their windows are compared across all boundaries,
    by 128-bit digests dealt over as many shards as the input needs; of equal digests in a
    batch one is sent, so a window that very many texts share is no single shard's. What the
    sample shows decides only which way an anchor goes, not what is found.
@@ -47,7 +48,7 @@ SPAN = WIDTH - GRAM + 1
 PART = (1 << 20) - WIDTH  # windows looked at at once
 HOT = 60_000
 BUCKET = 40_000
-SAMPLE, COMMON = 1500, 15  # texts looked at first, and in how many of them a gram is common
+SAMPLE, COMMON = 1500, 15  # texts looked at first; in fewer of them no gram is known to be common
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -442,7 +443,8 @@ def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET, common: i
     texts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     rows, total = keyed.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sample = keyed.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).mapInArrow(_sampled, "is_gram boolean, value long")
-    sampled = sample.groupBy("is_gram", "value").count().where(F.col("is_gram") & (F.col("count") >= common) | ~F.col("is_gram")).collect()
+    often = max(common, hot * min(1.0, SAMPLE / max(rows, 1)))
+    sampled = sample.groupBy("is_gram", "value").count().where(F.col("is_gram") & (F.col("count") >= often) | ~F.col("is_gram")).collect()
     shared = np.array([r.value for r in sampled if r.is_gram], np.int64).view(np.uint64)
     leads = np.sort(np.array([r.value for r in sampled if not r.is_gram for _ in range(r["count"])], np.int64).view(np.uint64))
     want = max(1, total // (76 * bucket))
