@@ -42,7 +42,7 @@ SPACE = "▁"
 #: Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM = 1
-_CACHED = 250_000
+_CACHED = 800_000
 _MODELS: dict[tuple, "PieceModel"] = {}
 
 
@@ -143,7 +143,8 @@ class PieceModel:
                 if cost < best[i + 1]:
                     best[i + 1] = cost
         for at in arcs:
-            at.sort()
+            if len(at) > 1:
+                at.sort()
         out: list = []
         tick, most = 0, self.n
         agenda: list = [(best[n], n, 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
