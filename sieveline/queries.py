@@ -541,7 +541,7 @@ UNION ALL SELECT path, n_bytes + 1 FROM base WHERE path IN (SELECT path FROM dir
     "file_stats": f"""WITH {_FILES} SELECT path, strlen(text)::BIGINT AS n_bytes, contains(text, chr(0)) AS is_binary, contains(replace(text, chr(13) || chr(10), ''), chr(13)) AS has_bare_cr,
   contains(text, chr(8490)) AS has_kelvin, contains(text, chr(383)) AS has_long_s, regexp_matches(path, '(^|/)\\.') AS hidden FROM files""",
     "universe_digest": f"""WITH {_FILES} SELECT count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes,
-  sum(('0x' || substr(sha256(strlen(path)::VARCHAR || '|' || path || '|' || strlen(text)::VARCHAR || '|' || sha256(text)), 1, 13))::BIGINT)::BIGINT AS digest FROM files""",
+  (sum(('0x' || substr(sha256(strlen(path)::VARCHAR || '|' || path || '|' || strlen(text)::VARCHAR || '|' || sha256(text)), 1, 13))::BIGINT) % 1000000000000000000)::BIGINT AS digest FROM files""",
     "folder_digests": f"""WITH {_FILES}, f AS (SELECT lang || '/' || source AS folder, strlen(path)::VARCHAR || ':' || path AS v FROM files JOIN documents ON doc_id = file_id)
 SELECT folder, count(*) AS n, sha256(string_agg(v, '' ORDER BY v)) AS digest FROM f GROUP BY folder""",
     "event_islands": f"""WITH {_SPANS}, n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM reached)

@@ -32,7 +32,9 @@ def digest(files: DataFrame) -> DataFrame:
     on their order: the sum of each file's framed hash."""
     framed = F.concat_ws("|", F.octet_length("path").cast("string"), "path", F.octet_length("text").cast("string"), F.sha2(F.encode("text", "UTF-8"), 256))
     number = F.conv(F.substring(F.sha2(F.encode(framed, "UTF-8"), 256), 1, 13), 16, 10).cast("long")
-    return files.select(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum(number).cast("long").alias("digest"))
+    # the sum of many numbers of 52 bits is no long
+    total = (F.sum(number.cast("decimal(20,0)")) % F.lit(10**18).cast("decimal(20,0)")).cast("long")
+    return files.select(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), total.alias("digest"))
 
 
 @dataclass
