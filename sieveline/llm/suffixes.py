@@ -22,7 +22,7 @@ begin at anchors are sorted.
    must be in more than HOT of all: one bucket can't be trusted to hold those, nor one task
    to count them. Their windows are compared across all boundaries,
    by 128-bit digests dealt over as many shards as the input needs; of equal digests in a
-   batch one is sent, so a window that very many texts share is no single shard's. What the
+   batch one is sent and all are known to repeat, so a window that very many texts share is no single shard's. What the
    sample shows decides only which way an anchor goes, not what is found.
 5. Spans go back to the texts by the texts' digest.
 
@@ -48,6 +48,7 @@ SPAN = WIDTH - GRAM + 1
 PART = (1 << 20) - WIDTH  # windows looked at at once
 HOT = 60_000
 BUCKET = 40_000
+CHUNK = 2_000  # anchors whose windows are digested at once
 SAMPLE, COMMON = 1500, 15  # texts looked at first; in fewer of them no gram is known to be common
 _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
@@ -170,7 +171,7 @@ def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 _RECORD = np.dtype([("key", "V16"), ("start", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
-def _contexts(splitters: np.ndarray, deal: int, shards: int):
+def _contexts(splitters: np.ndarray, deal: int, shards: int, chunk: int = CHUNK):
     """Known spans of each text, merged; contexts to compare, each range of them dealt out
     to `deal` buckets; and of hot grams, records of all windows, a row for each shard, under
     negative bucket numbers. Windows met twice in the batch are known."""
@@ -218,9 +219,9 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int):
                 yield rows(len(w), bucket, key=keys.take(pa.array(row[w])), at=at[w], most=most[w], least=least[w], around=around)
 
             flood = np.flatnonzero(act & FLOOD)
-            seen: set[bytes] = set()
-            for i in range(0, len(flood), 2_000):
-                w = flood[i : i + 2_000]
+            seen: dict[bytes, tuple[int, int] | None] = {}  # where each was first, until that is known to repeat
+            for i in range(0, len(flood), chunk):
+                w = flood[i : i + chunk]
                 size = most[w] - least[w] + 1
                 which = np.repeat(w, size)
                 start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat((at - most)[w], size)
@@ -229,6 +230,7 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int):
                 first = np.ones(len(which), bool)
                 met = np.zeros(len(which), bool)  # again in this batch
                 place_of: dict[bytes, int] = {}
+                before: list[tuple[int, int]] = []  # first places in earlier chunks
                 for j, digest in enumerate(digests):
                     if digest in place_of:
                         first[j], met[j], met[place_of[digest]] = False, True, True
@@ -236,16 +238,24 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int):
                         place_of[digest] = j
                         if digest in seen:
                             first[j], met[j] = False, True
+                            if seen[digest] is not None:
+                                before.append(seen[digest])
+                                seen[digest] = None
                 if len(seen) > 300_000:
                     seen.clear()  # what is forgotten is sent once more
-                seen.update(place_of)
+                for digest, j in place_of.items():
+                    if first[j]:
+                        seen[digest] = None if met[j] else (int(row[which[j]]), int(start[j]))
                 again = np.flatnonzero(met)
                 if len(again):
-                    apart = np.concatenate([[True], (row[which[again]][1:] != row[which[again]][:-1]) | (start[again][1:] > start[again][:-1] + WIDTH)])
-                    head = np.flatnonzero(apart)
-                    last = np.append(head[1:], len(again)) - 1
-                    r = row[which[again[head]]]
-                    yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=start[again[head]], stop=start[again[last]] + WIDTH)
+                    r, begin = row[which[again]], start[again]
+                    if before:
+                        r, begin = (np.concatenate(x) for x in zip((r, begin), np.array(before, np.int64).T, strict=True))
+                        order = np.lexsort((begin, r))
+                        r, begin = r[order], begin[order]
+                    head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (begin[1:] > begin[:-1] + WIDTH)]))
+                    last = np.append(head[1:], len(again) + len(before)) - 1
+                    yield rows(len(head), r[head] % 65536, key=keys.take(pa.array(r[head])), start=begin[head], stop=begin[last] + WIDTH)
                 one = np.flatnonzero(first)
                 if not len(one):
                     continue

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import suffixes
@@ -64,3 +65,22 @@ def test_results_and_edges(spark):
     assert suffixes.report(docs.limit(0)).count() == 0 and suffixes.without_repeats(docs.limit(0)).count() == 0
     whole = suffixes.without_repeats(spark.createDataFrame([(1, "z" * 100, "k", 1), (2, "y" * 100, "k", 1)], FULL))
     assert sorted(r.text[0] * len(r.text) for r in whole.collect()) == ["y" * 100, "z" * 100]
+
+
+def test_windows_met_again_in_a_later_chunk():
+    r = random.Random(9)
+    text = lambda n: bytes(r.choice(b"abcdefghij ") for _ in range(n))
+    shared = text(230)
+    texts = [text(900) + shared + text(700), text(800) + shared + text(300) + shared, text(600)]
+    data, offsets = suffixes.buffers(pa.array(texts))
+    row, at, most, least, _, _ = suffixes.anchors(data, offsets)
+    todo = [[{"place": int(a << 16 | m << 8 | x), "act": suffixes.FLOOD} for i, a, m, x in zip(row, at, most, least, strict=True) if i == k] for k in range(len(texts))]
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("act", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%016d" % k for k in range(len(texts))]), pa.array(texts), pa.array(todo, kind)], ["key", "text", "todo"])
+    for chunk in (1, 2, 5, 2000):
+        out = pa.Table.from_batches(suffixes._contexts(suffixes.np.zeros(0, suffixes.np.uint64), 1, 4, chunk)(iter([batch])))
+        found = pa.Table.from_batches(suffixes._sorted_buckets(iter(out.sort_by("bucket").combine_chunks().to_batches()))).to_pylist()
+        gone = [bytearray(len(t)) for t in texts]
+        for x in found:
+            gone[int(x["key"])][x["start"] : x["stop"]] = b"\1" * (x["stop"] - x["start"])
+        assert [sum(g) for g in gone] == [n for _, n, _, _ in brute(texts)], chunk
