@@ -15,6 +15,7 @@ from sieveline.llm import neardup, packing, quality, secrets, suffixes
 from sieveline.llm.common import stored, table
 from sieveline.llm.queries import tokenizer
 
+NEAR = 80  # op7's contract has 85 for itself
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)).select(like.columns)
@@ -26,8 +27,9 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near duplicates, of a similarity of NEAR percent and
+    more, stays, the one with the least id."""
+    return neardup.deduplicated(docs, NEAR)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

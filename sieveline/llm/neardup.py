@@ -2,9 +2,10 @@
 
 1. A document's set of distinct word shingles is hashed; documents with equal sets are one
    class from here on, so copies cost nothing more and are never paired.
-2. A class has a signature of 128 minima. Classes that share a band of it (25 bands of 5)
-   are candidates; each is tied to the least class of the band's bucket, and what these
-   ties connect is a cluster. All candidate pairs lie within a cluster.
+2. A class has a signature of 128 minima. Classes that share a band of it (25 bands of 5;
+   28 of 4 at 80 percent) are candidates; each is tied to the least class of the band's
+   bucket, and what these ties connect is a cluster. All candidate pairs lie within a
+   cluster.
 3. A cluster is cut into blocks of bounded rows and bytes, and each two blocks meet in one
    group. There, classes that no verified link connects yet are compared: those that share
    a band, whose sizes allow the similarity, and whose signatures agree often enough, batch
@@ -13,8 +14,8 @@
    something new leave the group.
 4. Components of the verified links give each document the least id it is linked with.
 
-A chance of missing a link remains: at the threshold, of 4e-7 from the bands and of `miss`
-for each batch of the signature. Blocks of one cluster meet pairwise, so for a single
+A chance of missing a link remains: at the threshold, of 4e-7 from the bands (at 80
+percent too) and of `miss` for each batch of the signature. Blocks of one cluster meet pairwise, so for a single
 cluster the number of comparisons (not of rows) is quadratic where its members cannot be
 linked early.
 
@@ -40,6 +41,7 @@ from .components import roots
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 WORDS, PERCENT, MISS = 5, 85, 1e-6
+BAND_MISS = 5e-7
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_500_000
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +82,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """Bands and rows a band, as many rows and then as few bands as miss a pair at the
+    threshold with a chance of BAND_MISS at most: BANDS of ROWS at PERCENT."""
+    t = percent / 100
+    for rows in range(ROWS, 1, -1):
+        for bands in range(1, HASHES // rows + 1):
+            if (1 - t**rows) ** bands <= BAND_MISS:
+                return bands, rows
+    return HASHES, 1
+
+
+def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band of each signature; the band is part of the key."""
-    parts = signatures[:, : BANDS * ROWS].reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return splitmix(splitmix((parts * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64)) + np.arange(BANDS, dtype=np.uint64))
+        return splitmix(splitmix((parts * _PLACE[:rows]).sum(axis=2, dtype=np.uint64)) + np.arange(bands, dtype=np.uint64))
 
 
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -124,9 +137,9 @@ def _describe(batch: pa.RecordBatch):
     )
 
 
-def _keyed(batch: pa.RecordBatch):
+def _keyed(batch: pa.RecordBatch, bands: int, rows: int):
     sig = np.frombuffer(buffers(batch.column("sig"))[0].tobytes(), np.uint32).reshape(-1, HASHES)
-    keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig).astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+    keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig, bands, rows).astype(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
     yield pa.RecordBatch.from_arrays([batch.column("node"), keys], ["node", "keys"])
 
 
@@ -139,7 +152,7 @@ def _with_sets(batch: pa.RecordBatch):
 def verified_links(nodes: list[bytes], sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
     """Links that span the components of the group; side: compare across sides only."""
     n = len(nodes)
-    keys, size = band_keys(sigs), np.array([len(s) for s in sets])
+    keys, size = band_keys(sigs, *banding(percent)), np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     cut = np.concatenate([[0], np.cumsum(size)])
     present = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
@@ -177,38 +190,42 @@ def verified_links(nodes: list[bytes], sigs: np.ndarray, sets: list[np.ndarray],
     return links
 
 
-@lean
-def _linked(batches):
+def _linked(percent: int):
     """Rows come ordered by cluster and pair of blocks; links of each group leave."""
-    held: list = []
-    last = None
-
-    def flush():
-        seen, kept = set(), []
-        for r in held:
-            if r[0] not in seen:
-                seen.add(r[0])
-                kept.append(r)
-        if len(kept) < 2:
-            return
-        nodes = [r[0] for r in kept]
-        sigs = np.frombuffer(b"".join(r[1] for r in kept), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(r[2], np.uint64) for r in kept]
-        side = np.array([r[3] for r in kept]) if last[1] != last[2] else None
-        found = verified_links(nodes, sigs, sets, side)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.binary()), pa.array([nodes[b] for _, b in found], pa.binary())], ["u", "v"])
 
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "sig", "shingles", "block")]
-        for cluster, i, j, *row in zip(*cols, strict=True):
-            if (cluster, i, j) != last:
-                if held:
-                    yield from flush()
-                held, last = [], (cluster, i, j)
-            held.append(row)
-    if held:
-        yield from flush()
+    @lean
+    def run(batches):
+        held: list = []
+        last = None
+
+        def flush():
+            seen, kept = set(), []
+            for r in held:
+                if r[0] not in seen:
+                    seen.add(r[0])
+                    kept.append(r)
+            if len(kept) < 2:
+                return
+            nodes = [r[0] for r in kept]
+            sigs = np.frombuffer(b"".join(r[1] for r in kept), np.uint32).reshape(-1, HASHES)
+            sets = [np.frombuffer(r[2], np.uint64) for r in kept]
+            side = np.array([r[3] for r in kept]) if last[1] != last[2] else None
+            found = verified_links(nodes, sigs, sets, side, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.binary()), pa.array([nodes[b] for _, b in found], pa.binary())], ["u", "v"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "sig", "shingles", "block")]
+            for cluster, i, j, *row in zip(*cols, strict=True):
+                if (cluster, i, j) != last:
+                    if held:
+                        yield from flush()
+                    held, last = [], (cluster, i, j)
+                held.append(row)
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _label(doc_id: Column, node: Column) -> Column:
@@ -224,14 +241,16 @@ def _id_of(label: Column) -> Column:
     return F.when(first != F.lit(b"\xff" * 8), number.cast("long"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); linked is
+    what has a similarity of percent or more."""
+    bands, rows = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
     seen = stored(keyed.mapInArrow(lambda it: _rows(it, _describe), "doc_id long, tkey long, n_shingles long, node binary, sig binary"), "shingles")
     each = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "tkey")).alias("of"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(each.select(_label(F.col("id"), F.col("node")).alias("node"), F.col("node").alias("hash"), "of", "n", "sig"), "classes")
-    bands = classes.select("node", "sig").mapInArrow(lambda it: _rows(it, _keyed), "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
+    bands = classes.select("node", "sig").mapInArrow(lambda it: _rows(it, lambda batch: _keyed(batch, bands, rows)), "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot <> most").drop("most")
     ties = roots(bands.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct())
     members = ties.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
@@ -243,7 +262,7 @@ def components(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(lambda it: _rows(it, _with_sets), "node binary, cluster binary, blocks int, sig binary, shingles binary")
     own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sig", "shingles", "block")
-    links = roots(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_linked, "u binary, v binary"))
+    links = roots(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_linked(percent), "u binary, v binary"))
     named = classes.select("node", "hash").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(F.col("hash").alias("node"), _id_of(F.coalesce("root", "node")).alias("least"))
     component = F.coalesce("least", "doc_id")
     out = seen.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -251,8 +270,8 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that are not kept; of rows with equal ids all stay. A
     null id stays."""
-    gone = components(docs).where("not kept").select("doc_id").distinct()
+    gone = components(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sieveline.llm import queries, quality
+from sieveline.llm import neardup, queries, quality
 from sieveline.llm.common import table
 
 from . import test_neardup, test_secrets
@@ -105,3 +105,20 @@ def test_no_documents(spark, corpus, tmp_path):
     for name in ("documents", "labels"):
         table(spark, top, name).limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_near_copies_between_80_and_85_percent_go(spark):
+    assert neardup.banding() == (neardup.BANDS, neardup.ROWS) and neardup.banding(80) == (28, 4)
+    r = random.Random(4)
+    rows, want = [], set()
+    for k in range(30):
+        words = ["w%d" % r.randrange(10**9) for _ in range(204)]  # 200 shingles
+        swapped = (18, 22, 24)[k % 3]  # shingles of a copy that differ: 182 of 218, 178 of 222, 176 of 224
+        copy = words[:-swapped] + ["x%d" % r.randrange(10**9) for _ in range(swapped)]
+        share = (200 - swapped) / (200 + swapped)
+        assert (0.80 <= share < 0.85) == (swapped != 24)
+        rows += [(2 * k, " ".join(words), "en", "s", 1), (2 * k + 1, " ".join(copy), "en", "s", 1)]
+        want |= {2 * k} | ({2 * k + 1} if swapped == 24 else set())
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+    assert neardup.deduplicated(docs).count() == 60, "op7's own threshold is as it was"
