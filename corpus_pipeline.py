@@ -28,8 +28,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, of a similarity of NEAR percent and
-    more, stays, the one with the least id."""
-    return neardup.deduplicated(docs, NEAR)
+    more, stays, the one with the least id; of rows that repeat, one."""
+    return neardup.deduplicated(docs, NEAR, repeats=False)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ linked early.
 
 Cases: a null or empty text, or one of white space, has no shingles, is linked with
 nothing and is kept; a text of fewer words than a shingle is one shingle; repeated rows
-are linked with each other, and of rows with equal ids all are kept if one is; a null id
-is no candidate for the least id, and a row whose component has none but null ids is kept;
+are linked with each other, and of rows with equal ids all are kept if one is (the pipeline
+takes one of them); a null id is no candidate for the least id, and a row whose component
+has none but null ids is kept;
 an empty table gives no rows; other columns are left out. Texts of any length are taken
 whole.
 """
@@ -244,11 +245,17 @@ def _id_of(label: Column) -> Column:
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); linked is
     what has a similarity of percent or more."""
+    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """The columns of components(), tkey, a hash of the row's text, and chosen: whether the
+    row's id and text are the one pair that stands for its component."""
     bands, rows = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
     seen = stored(keyed.mapInArrow(lambda it: _rows(it, _describe), "doc_id long, tkey long, n_shingles long, node binary, sig binary"), "shingles")
-    each = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "tkey")).alias("of"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    each = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("of"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(each.select(_label(F.col("id"), F.col("node")).alias("node"), F.col("node").alias("hash"), "of", "n", "sig"), "classes")
     bands = classes.select("node", "sig").mapInArrow(lambda it: _rows(it, lambda batch: _keyed(batch, bands, rows)), "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot <> most").drop("most")
@@ -263,15 +270,32 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sig", "shingles", "block")
     links = roots(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_linked(percent), "u binary, v binary"))
-    named = classes.select("node", "hash").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(F.col("hash").alias("node"), _id_of(F.coalesce("root", "node")).alias("least"))
+    named = classes.select("node", "hash", "of").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(F.col("hash").alias("node"), _id_of(F.coalesce("root", "node")).alias("least"), F.when(F.col("root").isNull(), F.col("of")).alias("first"))
     component = F.coalesce("least", "doc_id")
-    out = seen.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = seen.select("doc_id", "tkey", "n_shingles", "node").join(named, "node", "left")
     drop_stored(ties, sizes)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that are not kept; of rows with equal ids all stay. A
-    null id stays."""
-    gone = components(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # the class with the least name, which has no root, stands for its component
+    chosen = F.col("node").isNull() | F.coalesce(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey")), F.lit(False))
+    return out.select("doc_id", "tkey", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), chosen.alias("chosen"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, repeats: bool = True) -> DataFrame:
+    """docs without the documents that are not kept. repeats: of rows with equal ids and of
+    null ids all that are kept stay. Without, one row of each component stays: of equal ids
+    one text's, a null id only where there is no other, and any of rows equal in both. Rows
+    without shingles are linked with nothing and all stay."""
+    judged = _judged(docs, percent)
+    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tkey", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+    def at(pairs: DataFrame, how: str) -> DataFrame:
+        named = pairs.select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t"))
+        return own.join(named, own._id.eqNullSafe(named._i) & (own._tkey == named._t), how)
+
+    if repeats:
+        return at(judged.where("not kept").select("doc_id", "tkey").distinct(), "left_anti").select(docs.columns)
+    # stored, as it is read twice; texts are shuffled only of what is there more than once
+    pairs = judged.groupBy("doc_id", "tkey").agg(F.bool_and("chosen").alias("chosen"), (F.bool_and(F.col("n_shingles") > 0) & (F.count("*") > 1)).alias("more"))
+    odd = stored(pairs.where("not chosen or more"), "repeats")
+    alone = at(odd, "left_anti")
+    one = at(odd.where("chosen"), "left_semi").dropDuplicates(["_id", "_tkey"])
+    return alone.unionByName(one).select(docs.columns)

@@ -122,3 +122,26 @@ def test_near_copies_between_80_and_85_percent_go(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
     assert neardup.deduplicated(docs).count() == 60, "op7's own threshold is as it was"
+
+
+def test_one_row_of_a_group_stays_where_ids_repeat(spark):
+    r = random.Random(5)
+    text = lambda: " ".join("w%d" % r.randrange(10**9) for _ in range(60))
+    a, b, c, d, e, f, g, h = (text() for _ in range(8))
+    near = lambda t, x: t + " " + x
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, near(b, "x")), (None, c), (7, c)]  # repeats; null ids
+    rows += [(3, d), (4, near(d, "x")), (4, e)]  # 4 is a copy of 3, and has another text, which is no copy
+    rows += [(5, f), (5, near(f, "x")), (5, g)]  # an id for two near copies and another text
+    rows += [(6, h), (8, h), (8, h), (9, ""), (9, None), (10, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s%d" % k, len(t or "")) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.schema == docs.schema
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    loose = [x for x in got if x[0] not in (5, None)]
+    assert loose == sorted([(1, a), (7, c), (3, d), (4, e), (6, h), (9, ""), (9, None), (10, " ")], key=str)
+    null, five = [t for i, t in got if i is None], [t for i, t in got if i == 5]
+    assert len(null) == 1 and null[0] in (b, near(b, "x"))
+    assert len(five) == 2 and g in five and set(five) <= {f, near(f, "x"), g}
+    assert all((x.text or "") == (docs_text or "") for x, docs_text in ((x, rows[int(x.source[1:])][1]) for x in out.collect()))
+    after = {(x.doc_id, x.text) for x in corpus_pipeline.cut_repeated_passages(spark, out, "").collect()}
+    assert (1, a) in after and (6, h) in after, "no document vanishes whole"
