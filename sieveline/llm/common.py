@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one where none is named."""
+    """The shared folder that the cluster names. Where none is named, a temporary one, but
+    only in a local session: a cluster's executors would each write to a disk of their own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = spark.conf.get("sieveline.scratch", None)
         if not named:
             named = "file://" + tempfile.mkdtemp(prefix="sieveline-")
@@ -36,12 +39,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(out)
     return out
 
 
+_LEFT: dict[str, list[DataFrame]] = {}  # by application, tables that still lie there
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes every table of this application that stored() made and that still lies there,
+    such as those a returned DataFrame reads; says how many."""
+    left = _LEFT.pop(spark.sparkContext.applicationId, [])
+    drop_stored(*left)
+    return len(left)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Deletes tables made by stored() that no later plan reads."""
     for df in frames:
+        left = _LEFT.get(df.sparkSession.sparkContext.applicationId, [])
+        left[:] = [x for x in left if x is not df]
         path = df._stored_at
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

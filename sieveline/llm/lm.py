@@ -114,7 +114,7 @@ class Paths:
         p = self.counts[1][self.of[1][some]] / (floor - 1)
         starts = np.concatenate([[0], np.cumsum(np.diff(self.bounds)[~self.held])[:-1]])
         for j in range(2, k + 1):
-            has = self.of[j][some] >= 0
+            has = self.of[j][some] >= 0  # what stands beside it elsewhere is not taken
             c = self.counts[j][self.of[j][some]] - 1
             if j == 2:
                 h = self.before(1)[some]
@@ -122,10 +122,12 @@ class Paths:
             else:
                 history = self.counts[j - 1][self.before(j - 1)[some]] - 1
             if j < k:
-                p = np.where(has, (c + fixed[j - 2] * p) / (history + fixed[j - 2]), p)
+                with np.errstate(all="ignore"):
+                    p = np.where(has, (c + fixed[j - 2] * p) / (history + fixed[j - 2]), p)
             else:
                 for i, s in enumerate(strengths):
-                    out[~self.held, i] = np.add.reduceat(np.log10(np.where(has, (c + s * p) / (history + s), p)), starts)
+                    with np.errstate(all="ignore"):
+                        out[~self.held, i] = np.add.reduceat(np.log10(np.where(has, (c + s * p) / (history + s), p)), starts)
         return out
 
 
