@@ -64,12 +64,12 @@ _SPANS = """array_to_string(list_transform(list_filter(range(1, len({0}) + 1), l
 ORACLE = {
     "op10_topk_maxscore": """
 WITH v AS (
-  SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.at, q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
-  FROM v q JOIN v r ON q.at <> r.at WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT q.n, q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM v q JOIN v r ON q.n <> r.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op3_chat_preferences": f"""
 WITH w AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS c FROM conversations GROUP BY conv_id),
@@ -99,6 +99,18 @@ _ALLOWED = " OR ".join(f"regexp_full_match(part, '{p.replace("}+", "}")}')" for
 _SPELL = f"string_agg({_KINDS}[kind + 1] || ':' || a::VARCHAR || ':' || b::VARCHAR, ',' ORDER BY a, kind)"
 
 ORACLE |= {
+    "op4_suffix_dedup": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, b[i:i + 199] AS w FROM t, unnest(range(1, octet_length(b) - 198)) AS x(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY sha256(w)) AS n FROM w) WHERE n > 1),
+opens AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS o FROM again),
+runs AS (SELECT r, i, sum(o) OVER (PARTITION BY r ORDER BY i) AS run FROM opens),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS e FROM runs GROUP BY r, run),
+gaps AS (SELECT r, a, e, lag(e, 1, 1) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+pieces AS (SELECT t.r, sum(e - a)::BIGINT AS n, count(*) AS k, string_agg(hex(b[before:a - 1]), '' ORDER BY a) || hex(any_value(b[e_last:])) AS h
+  FROM gaps JOIN t USING (r) JOIN (SELECT r, max(e) AS e_last FROM spans GROUP BY r) USING (r) GROUP BY t.r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(k, 0) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM t LEFT JOIN pieces USING (r)""",
     "op7_minhash_near_dups": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS (

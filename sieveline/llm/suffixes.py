@@ -6,30 +6,30 @@ string alone, so equal strings have theirs at the same offset, and the windows o
 fall to its anchors in runs. About one position in 76 is an anchor, and only suffixes that
 begin at anchors are sorted.
 
-1. Texts are made distinct (copies are known to repeat as a whole). Anchors whose gram is
-   met once in all texts are done: their windows are unique.
-   A context is what its windows cover; contexts met twice (by 128 bits of two hashes, the
-   gram's and the whole's) are known to repeat, first within a task, then over all.
-2. One of each context that shares its gram with others is dealt out by range: splitters
-   from a sample of leading tokens (8 bytes) bound the buckets; where the sample has too few
-   for the input's size, the next 40 bytes deal a range out further.
-3. A bucket is sorted by multikey quicksort, 8 bytes a key, and neighbours give the
-   longest common prefixes; what precedes the anchors is sorted in the same way within
-   equal grams. A window, o bytes before its anchor and WIDTH - o after, repeats when
-   another row is in its class of both.
-4. Equal leading tokens share a bucket, so nothing reaches over a boundary, but for grams
-   met in more than HOT contexts, or in so many texts of a sample (COMMON at least) that they
-   must be in more than HOT of all: one bucket can't be trusted to hold those, nor one task
-   to count them. Their windows are compared across all boundaries,
-   by 128-bit digests dealt over as many shards as the input needs; of equal digests in a
-   batch one is sent and all are known to repeat, so a window that very many texts share is no single shard's. What the
-   sample shows decides only which way an anchor goes, not what is found.
+1. Texts are made distinct (copies are known to repeat as a whole). Anchors whose gram's hash
+   is met once in all texts are done: their windows are unique. A context is what an anchor's
+   windows cover. Within a task, equal contexts, compared byte by byte, repeat, and one stands
+   for all from here on.
+2. Contexts are dealt out by range: splitters from a sample of leading tokens (48 bytes) bound
+   the buckets, in order. What equals a splitter stands at a boundary and would fall on both
+   sides of it; it has a bucket of its own, in which it is compared across. So suffixes that
+   share a gram, whose first 48 bytes are leading tokens, always meet.
+3. A range is sorted by leading tokens and cut, where they change, into stretches of bounded
+   size. A stretch is sorted by three-way multikey quicksort, 8 bytes a key, and neighbours
+   give the longest common prefixes; what precedes the anchors is sorted in the same way within
+   equal grams. A window, o bytes before its anchor and WIDTH - o after, repeats when another
+   row is in its class of both.
+4. A gram met in more than HOT contexts, or in so many of a sample (COMMON at least) that it
+   must be in more than HOT of all, is more than one task may hold, and no boundary can be put
+   within it, as what precedes the anchor matters as well. The windows of such anchors are dealt out
+   one by one by 128-bit digests, over as many shards as the input needs; in a batch equal ones
+   are sent once. This is the one place where a hash decides.
 5. Spans go back to the texts by the texts' digest.
 
 Cases: a null text is empty; texts shorter than WIDTH lose nothing; repeated rows repeat
 each other and lose all that WIDTH bytes cover; texts of any length are taken whole, in
 overlapping parts; null ids are carried along; an empty table gives no rows; other columns
-are left out.
+are left out, or carried along by without_repeats, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,6 +54,9 @@ _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = splitmix(np.arange(256, dtype=np.uint64))
+LEAD = 48  # bytes of leading tokens; no more than GRAM
+SPLITTERS = 20_000
+SMALL = 48  # rows that are sorted at once
 KNOWN, SEND, FLOOD = 1, 2, 4  # what is to do with an anchor
 HEAD, AGAIN, SHARED = 1, 2, 4  # first or later of equal contexts in a batch; of a common gram
 _TABLES: dict[str, np.ndarray] = {}
@@ -115,6 +118,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _alike(data: np.ndarray, offsets: np.ndarray, found, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the contexts of two anchors are the same bytes; their offsets are equal."""
+    row, at, most, least = found
+    out = np.zeros(len(one), bool)
+    begin, size = at + offsets[row] - most, most - least + WIDTH
+    wide = np.concatenate([data, np.zeros(SPAN + WIDTH, np.uint8)])
+    for i in range(0, len(one), 16384):
+        a, b = one[i : i + 16384], other[i : i + 16384]
+        same = wide[begin[a][:, None] + np.arange(SPAN + WIDTH)] == wide[begin[b][:, None] + np.arange(SPAN + WIDTH)]
+        out[i : i + 16384] = (same | (np.arange(SPAN + WIDTH) >= size[a][:, None])).all(axis=1)
+    return out
+
+
 def _find_anchors(common: np.ndarray):
     """Anchors of each text. Of equal contexts in a batch one stands for all; the others
     are known and need no comparison, so they take a gram of their own, as do anchors of
@@ -127,8 +143,10 @@ def _find_anchors(common: np.ndarray):
             row, at, most, least, gram, context = anchors(data, offsets)
             place = (at << 16) | (most << 8) | least
             n = len(row)
-            order = np.lexsort((np.arange(n), context, gram))
-            equal = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+            order = np.lexsort((np.arange(n), context, most << 8 | least, gram))
+            near = np.flatnonzero((gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1]) & ((most - least)[order][1:] == (most - least)[order][:-1]) & (most[order][1:] == most[order][:-1]))
+            equal = np.zeros(max(n - 1, 0), bool)
+            equal[near] = _alike(data, offsets, (row, at, most, least), order[near], order[near + 1])
             kind = np.zeros(n, np.int32)
             if n:
                 kind[order[1:][equal]] = AGAIN
@@ -139,8 +157,7 @@ def _find_anchors(common: np.ndarray):
             with np.errstate(over="ignore"):
                 gram = np.where(alone, splitmix(context + np.arange(n, dtype=np.uint64) + place.astype(np.uint64)), gram)
             cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
-            fields = [pa.array(place), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(kind)]
-            found = pa.StructArray.from_arrays(fields, ["place", "gram", "context", "kind"])
+            found = pa.StructArray.from_arrays([pa.array(place), pa.array(gram.view(np.int64)), pa.array(kind)], ["place", "gram", "kind"])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(cut, found)], ["key", "found"])
 
     return run
@@ -149,32 +166,41 @@ def _find_anchors(common: np.ndarray):
 @lean
 def _sampled(batches):
     """Of sampled texts, leading tokens of some anchors, for the splitters, and the grams
-    of each text, for the common ones."""
+    of each context, for the common ones."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        row, at, _, _, gram, _ = anchors(data, offsets)
+        row, at, _, _, gram, context = anchors(data, offsets)
         at = (at + offsets[row])[:: max(1, len(row) // (16 * batch.num_rows) if batch.num_rows else 1)]
-        leads = _words(data, at, 1)[:, 0]
-        order = np.lexsort((gram, row))
+        leads = _leads(data, at).tolist()
+        order = np.lexsort((context, gram))
         new = np.ones(len(order), bool)
-        new[1:] = (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1])
-        values = np.concatenate([leads, gram[order[new]]]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)) >= len(leads)), pa.array(values)], ["is_gram", "value"])
+        new[1:] = (context[order][1:] != context[order][:-1]) | (gram[order][1:] != gram[order][:-1])
+        grams = gram[order[new]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(leads) + grams.tolist(), pa.int64()), pa.array(leads + [None] * len(grams), pa.binary())], ["gram", "lead"])
+
 
+def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The leading tokens of suffixes, which sort as bytes do."""
+    wide = np.concatenate([data, np.zeros(LEAD, np.uint8)])
+    return np.ascontiguousarray(wide[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
 
-def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """n big-endian 8-byte words of data from each place on, zeros beyond its end."""
-    wide = np.concatenate([data, np.zeros(8 * n, np.uint8)])
-    return wide[at[:, None] + np.arange(8 * n)].view(">u8").astype(np.uint64)
+
+def _merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, in order, those that touch as one."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    reach = np.maximum.accumulate(end + (row << 40)) - (row << 40)
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])]))
+    return row[first], begin[first], reach[np.append(first[1:], len(row)) - 1]
 
 
 _RECORD = np.dtype([("key", "V16"), ("start", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
-def _contexts(splitters: np.ndarray, deal: int, shards: int, chunk: int = CHUNK):
-    """Known spans of each text, merged; contexts to compare, each range of them dealt out
-    to `deal` buckets; and of hot grams, records of all windows, a row for each shard, under
-    negative bucket numbers. Windows met twice in the batch are known."""
+def _contexts(splitters: np.ndarray, shards: int, chunk: int = CHUNK):
+    """Known spans of each text, merged; contexts to compare, with the number of the range or
+    the boundary that they fall to; and of hot grams, records of all windows, a row for each
+    shard, under negative bucket numbers. Windows met twice in the batch are known."""
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("around", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def rows(n, bucket, **cols):
@@ -197,24 +223,15 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int, chunk: int = CHUNK)
 
             known = np.flatnonzero(act & KNOWN)
             if len(known):
-                # windows of a text come in order, so spans that touch follow each other
-                begin, end = (at - most)[known], (at - least)[known] + WIDTH
-                apart = np.concatenate([[True], (row[known][1:] != row[known][:-1]) | (begin[1:] > end[:-1])])
-                first = np.flatnonzero(apart)
-                last = np.append(first[1:], len(known)) - 1
-                r = row[known][first]
-                yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=begin[first], stop=end[last])
+                r, begin, end = _merged(row[known], (at - most)[known], (at - least)[known] + WIDTH)
+                yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=begin, stop=end)
 
             sent = np.flatnonzero(act & SEND)
             for i in range(0, len(sent), 20_000):
                 w = sent[i : i + 20_000]
                 here = at[w] + offsets[row[w]]
-                lead = _words(data, here, 6)
-                bucket = np.searchsorted(splitters, lead[:, 0], "right")
-                if deal > 1:
-                    with np.errstate(over="ignore"):
-                        mixed = splitmix((lead * _BYTE[:6]).sum(axis=1, dtype=np.uint64))
-                    bucket = bucket * deal + (mixed % np.uint64(deal)).astype(np.int64)
+                lead = _leads(data, here)
+                bucket = np.searchsorted(splitters, lead, "left") + np.searchsorted(splitters, lead, "right")
                 around = [raw[a:b] for a, b in zip((here - most[w]).tolist(), (here - least[w] + WIDTH).tolist(), strict=True)]
                 yield rows(len(w), bucket, key=keys.take(pa.array(row[w])), at=at[w], most=most[w], least=least[w], around=around)
 
@@ -251,11 +268,8 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int, chunk: int = CHUNK)
                     r, begin = row[which[again]], start[again]
                     if before:
                         r, begin = (np.concatenate(x) for x in zip((r, begin), np.array(before, np.int64).T, strict=True))
-                        order = np.lexsort((begin, r))
-                        r, begin = r[order], begin[order]
-                    head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (begin[1:] > begin[:-1] + WIDTH)]))
-                    last = np.append(head[1:], len(again) + len(before)) - 1
-                    yield rows(len(head), r[head] % 65536, key=keys.take(pa.array(r[head])), start=begin[head], stop=begin[last] + WIDTH)
+                    r, begin, end = _merged(r, begin, begin + WIDTH)
+                    yield rows(len(r), r % 65536, key=keys.take(pa.array(r)), start=begin, stop=end)
                 one = np.flatnonzero(first)
                 if not len(one):
                     continue
@@ -274,29 +288,27 @@ def _contexts(splitters: np.ndarray, deal: int, shards: int, chunk: int = CHUNK)
 
 
 def multikey_sort(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """The order of rows by group and then by their words, from the first; only rows that
-    still tie are looked at again."""
-    order = np.lexsort((words[:, 0], groups)) if words.shape[1] else np.argsort(groups, kind="stable")
-    if not len(order):
-        return order
-    cls = np.zeros(len(order), np.int64)  # by position in order
-    cls[1:] = np.cumsum((groups[order][1:] != groups[order][:-1]) | (words[order, 0][1:] != words[order, 0][:-1]) if words.shape[1] else groups[order][1:] != groups[order][:-1])
-    for j in range(1, words.shape[1]):
-        tied = np.zeros(len(order), bool)
-        same = cls[1:] == cls[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        rows = order[at]
-        again = np.lexsort((words[rows, j], cls[at]))
-        rows, c = rows[again], cls[at][again]
-        order[at] = rows
-        split = np.zeros(len(order), bool)
-        split[at[1:]] = (c[1:] != c[:-1]) | (words[rows, j][1:] != words[rows, j][:-1])
-        split[1:] |= cls[1:] != cls[:-1]
-        cls = np.cumsum(split)
+    """The order of rows by group and then by their words, by three-way multikey quicksort:
+    rows are parted into those below, at and above a pivot in one word, and only those at it go
+    on to the next word. The pivot is the middle one of up to nine."""
+    columns = np.column_stack([groups.astype(np.uint64), words])
+    order = np.arange(len(groups))
+    todo = [(0, len(order), 0)]
+    while todo:
+        a, b, word = todo.pop()
+        if b - a < 2 or word == columns.shape[1]:
+            continue
+        rows = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = rows[np.lexsort(columns[rows, word:].T[::-1])]
+            continue
+        key = columns[rows, word]
+        nine = np.sort(key[:: -(-len(key) // 9)])
+        pivot = nine[len(nine) // 2]
+        below, above = key < pivot, key > pivot
+        i, j = a + int(below.sum()), b - int(above.sum())
+        order[a:b] = np.concatenate([rows[below], rows[~(below | above)], rows[above]])
+        todo += [(a, i, word), (i, j, word + 1), (j, b, word)]
     return order
 
 
@@ -354,12 +366,17 @@ def repeated(around: list[bytes], most: np.ndarray, least: np.ndarray) -> tuple[
     return row, first, end - 1
 
 
-@lean
-def _sorted_buckets(batches):
-    """Rows come by bucket; each bucket is sorted as a whole. Known spans pass through."""
+def _sorted_buckets(size: int = BUCKET):
+    """Rows come by bucket and leading tokens. A bucket is cut where leading tokens change into
+    stretches of about `size` rows, and each is sorted. Known spans pass through."""
+    return lean(lambda batches: _sort_stretches(batches, size))
+
+
+def _sort_stretches(batches, size: int):
     schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
     held: list[pa.Table] = []
     last = None
+    waiting, before = 0, b""
 
     def flood(blobs):
         record = np.frombuffer(b"".join(blobs), _RECORD)
@@ -393,15 +410,25 @@ def _sorted_buckets(batches):
             yield known.select(["key", "start", "stop"]).cast(schema)
         rest = batch.filter(batch.column("around").is_valid())
         bucket = np.asarray(rest.column("bucket"))
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-        for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-            if a == b:
-                continue
-            if bucket[a] != last and held:
+        leads = [x[m : m + LEAD] if m is not None else b"" for x, m in zip(rest.column("around").to_pylist(), rest.column("most").to_pylist(), strict=True)]
+        new = np.flatnonzero([x != y for x, y in zip(leads, [before, *leads[:-1]], strict=True)])
+        changes = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        at = 0
+        while at < len(bucket):
+            # as far as the bucket goes, and no further than the first change of tokens past the size
+            end = int(changes[i]) if (i := np.searchsorted(changes, at, "right")) < len(changes) else len(bucket)
+            if bucket[at] != last and held:
+                yield from flush()
+                held, waiting = [], 0
+            elif waiting >= size and last >= 0 and (j := np.searchsorted(new, at)) < len(new) and new[j] == at:
                 yield from flush()
-                held = []
-            last = bucket[a]
-            held.append(pa.Table.from_batches([rest.slice(a, b - a)]))
+                held, waiting = [], 0
+            last = bucket[at]
+            if last >= 0 and waiting + end - at > size:
+                j = np.searchsorted(new, at + max(size - waiting, 1))
+                end = min(end, int(new[j])) if j < len(new) else end
+            held.append(pa.Table.from_batches([rest.slice(at, end - at)]))
+            waiting, before, at = waiting + end - at, leads[end - 1], end
     if held:
         yield from flush()
 
@@ -452,46 +479,41 @@ def cut_repeats(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET, common: i
     keyed = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(key.alias("key"), "text")
     texts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     rows, total = keyed.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    sample = keyed.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).mapInArrow(_sampled, "is_gram boolean, value long")
+    sample = keyed.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).mapInArrow(_sampled, "gram long, lead binary")
     often = max(common, hot * min(1.0, SAMPLE / max(rows, 1)))
-    sampled = sample.groupBy("is_gram", "value").count().where(F.col("is_gram") & (F.col("count") >= often) | ~F.col("is_gram")).collect()
-    shared = np.array([r.value for r in sampled if r.is_gram], np.int64).view(np.uint64)
-    leads = np.sort(np.array([r.value for r in sampled if not r.is_gram for _ in range(r["count"])], np.int64).view(np.uint64))
-    want = max(1, total // (76 * bucket))
-    ranges = max(1, min(len(leads), want))
-    splitters = np.unique(leads[(np.arange(1, ranges) * len(leads)) // ranges]) if ranges > 1 else np.zeros(0, np.uint64)
-    deal = -(-want // (len(splitters) + 1))
-    found = texts.mapInArrow(_find_anchors(shared), "key binary, found array<struct<place:long,gram:long,context:long,kind:int>>")
+    sampled = sample.groupBy("gram", "lead").count().where((F.col("count") >= often) | F.col("gram").isNull()).collect()
+    shared = np.array([r.gram for r in sampled if r.gram is not None], np.int64).view(np.uint64)
+    leads = np.sort(np.array([bytes(r.lead) for r in sampled if r.gram is None for _ in range(r["count"])], f"S{LEAD}"))
+    ranges = max(1, min(len(leads), SPLITTERS, total // (76 * bucket)))
+    splitters = np.unique(leads[(np.arange(1, ranges) * len(leads)) // ranges]) if ranges > 1 else leads[:0]
+    found = texts.mapInArrow(_find_anchors(shared), "key binary, found array<struct<place:long,gram:long,kind:int>>")
     each = found.select("key", F.explode("found").alias("x")).select("key", "x.*")
-    gram, context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
-    seen = (
-        each.withColumn("i", F.row_number().over(context.orderBy("kind", "key", "place")))
-        .withColumn("m", F.count("*").over(context))
-        .withColumn("others", F.min("context").over(gram) != F.max("context").over(gram))
-        .withColumn("kinds", F.count_if(F.col("i") == 1).over(gram))
-    )
-    known = F.when((F.col("kind").bitwiseAND(HEAD | AGAIN) > 0) | (F.col("m") > 1), KNOWN).otherwise(0)
-    rival = F.when(F.col("kind") >= SHARED, FLOOD).when(F.col("others") & (F.col("i") == 1), F.when(F.col("kinds") > hot, FLOOD).otherwise(SEND)).otherwise(0)
-    todo = seen.select("key", "place", (known + rival).cast("int").alias("act")).where("act > 0")
+    met = F.count("*").over(Window.partitionBy("gram"))
+    known = F.when(F.col("kind").bitwiseAND(HEAD | AGAIN) > 0, KNOWN).otherwise(0)
+    rival = F.when(F.col("kind") >= SHARED, FLOOD).when(F.col("kind") >= AGAIN, 0).when(F.col("met") > hot, FLOOD).when(F.col("met") > 1, SEND).otherwise(0)
+    todo = each.withColumn("met", met).select("key", "place", (known + rival).cast("int").alias("act")).where("act > 0")
     listed = todo.groupBy("key").agg(F.collect_list(F.struct("place", "act")).alias("todo"))
     contexts = texts.join(listed, "key").mapInArrow(
-        _contexts(splitters, deal, max(16, total >> 20)), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
+        _contexts(splitters, max(16, total >> 20)), "bucket int, key binary, at long, most int, least int, around binary, start long, stop long"
     )
-    spans = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "key binary, start long, stop long")
+    lead = F.col("around").substr(F.col("most") + 1, F.lit(LEAD))
+    spans = contexts.repartition("bucket").sortWithinPartitions("bucket", lead).mapInArrow(_sorted_buckets(bucket), "key binary, start long, stop long")
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     none = F.array().cast("array<struct<start:long,stop:long>>")
     ready = texts.join(listed, "key", "left").select("key", "n", "text", F.coalesce("spans", none).alias("spans"))
     return ready.mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
     key = F.unhex(F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))).alias("key")
-    return docs.select("doc_id", key).join(cut_repeats(docs).drop("kept"), "key").drop("key")
+    return docs.select("doc_id", key).join(cut_repeats(docs, hot, bucket).drop("kept"), "key").drop("key")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with their texts cut."""
     key = F.unhex(F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
-    cut = cut_repeats(docs).select(F.col("key").alias("_key"), "kept")
-    return docs.withColumn("_key", key).withColumn("text", F.lit(None).cast("string")).join(cut, "_key").withColumn("text", F.col("kept")).drop("_key", "kept")
+    # the other columns go along in one, so that no name can clash
+    others = docs.select(key.alias("key"), F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = others.join(cut_repeats(docs).select("key", "kept"), "key")
+    return joined.select(*(F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

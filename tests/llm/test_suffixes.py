@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -78,9 +79,46 @@ def test_windows_met_again_in_a_later_chunk():
     kind = pa.list_(pa.struct([("place", pa.int64()), ("act", pa.int32())]))
     batch = pa.RecordBatch.from_arrays([pa.array([b"%016d" % k for k in range(len(texts))]), pa.array(texts), pa.array(todo, kind)], ["key", "text", "todo"])
     for chunk in (1, 2, 5, 2000):
-        out = pa.Table.from_batches(suffixes._contexts(suffixes.np.zeros(0, suffixes.np.uint64), 1, 4, chunk)(iter([batch])))
-        found = pa.Table.from_batches(suffixes._sorted_buckets(iter(out.sort_by("bucket").combine_chunks().to_batches()))).to_pylist()
+        out = pa.Table.from_batches(suffixes._contexts(np.zeros(0, "S48"), 4, chunk)(iter([batch])))
+        found = pa.Table.from_batches(suffixes._sorted_buckets()(iter(out.sort_by("bucket").combine_chunks().to_batches()))).to_pylist()
         gone = [bytearray(len(t)) for t in texts]
         for x in found:
             gone[int(x["key"])][x["start"] : x["stop"]] = b"\1" * (x["stop"] - x["start"])
         assert [sum(g) for g in gone] == [n for _, n, _, _ in brute(texts)], chunk
+
+
+@pytest.mark.parametrize(("hot", "bucket"), [(suffixes.HOT, suffixes.BUCKET), (1, 500), (30, 7)])
+def test_thousands_of_anchors_in_a_batch(spark, hot, bucket):
+    """Many pairs that share a passage, more anchors than are looked at together, in one batch
+    and in several; a passage too short to go stands in every text."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefghijklmn ") for _ in range(n))
+    common = text(120)
+    texts = []
+    for _ in range(900):
+        shared = text(230)
+        texts += [text(20) + shared + text(15) + common, text(9) + common + shared]
+    want = brute([t.encode() for t in texts])
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], FULL)
+    for parts in (1, 6):
+        got = suffixes.report(docs.repartition(parts), hot, bucket).orderBy("doc_id").collect()
+        assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got] == want
+
+
+@pytest.mark.parametrize("kinds", [2, 5, 10**6])
+def test_multikey_quicksort(kinds):
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, suffixes.SMALL + 1, 3000):
+        words, groups = r.integers(0, kinds, (n, 6)).astype(np.uint64), r.integers(0, 3, n)
+        words[: n // 2] = words[:1] if n else words[:0]
+        order = suffixes.multikey_sort(words, groups)
+        rows = [(int(g), *w) for g, w in zip(groups, words.tolist(), strict=True)]
+        assert sorted(order.tolist()) == list(range(n)) and [rows[i] for i in order] == sorted(rows)
+
+
+def test_any_other_column_is_carried_along(spark):
+    text = "".join(map(str, range(150)))
+    row = (1, text, 5, 6, 7, 8, "x")
+    docs = spark.createDataFrame([row, (2, text[:150] + "?", 5, 6, 7, 8, None)], "doc_id long, text string, kept int, _key int, key int, row int, n string")
+    got = suffixes.without_repeats(docs).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [row, (2, text[:150] + "?", 5, 6, 7, 8, None)]
