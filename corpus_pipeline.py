@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import neardup, packing, quality, secrets, suffixes
-from sieveline.llm.common import stored, table
+from sieveline.llm.common import drop_stored, own_columns, stored, table
 from sieveline.llm.queries import tokenizer
 
 NEAR = 80  # op7's contract has 85 for itself
 
+
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)).select(like.columns)
+    return docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType)).select(own_columns(like))
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, last = stored(stage(spark, docs, sf_dir), name.replace(" ", "-")), before
+        if last is not None:
+            drop_stored(last)
+        before = docs
     return docs

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_starts
+
 OPEN, SHUT = "<|im_start|>", "<|im_end|>"
 
 
@@ -30,15 +32,13 @@ def _render(turns: Column) -> Column:
 
 def _spans(turns: Column) -> Column:
     """start:end of the assistant's texts and end marks in the rendered turns."""
+    size = F.transform(turns, lambda x: F.length(_turn(x)).cast("long"))
 
-    def step(acc, x):
-        end = acc["at"] + F.length(_turn(x))
-        start = acc["at"] + len(OPEN) + F.length(F.coalesce(x["role"], F.lit("unknown"))) + 1
-        span = F.concat_ws(":", start.cast("string"), (end - 1).cast("string"))
-        return F.struct(end.alias("at"), F.when(x["role"] == "assistant", F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(x, at):
+        start = at + len(OPEN) + F.length(F.coalesce(x["role"], F.lit("unknown"))) + 1
+        return F.when(x["role"] == "assistant", F.concat_ws(":", start.cast("string"), (at + F.length(_turn(x)) - 1).cast("string")))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(turns, none, step, lambda acc: acc["out"]), ",")
+    return F.array_join(F.zip_with(turns, running_starts(size), span), ",")
 
 
 def common_turns(a: Column, b: Column) -> Column:

@@ -89,6 +89,19 @@ def lean(fn):
     return run
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column of it; names differ in more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list:
+    """df's columns, whatever stands in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def crc32_of(col) -> "F.Column":
     """CRC-32 of a value's text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

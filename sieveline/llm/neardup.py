@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, drop_stored, give_back, hash_spans, lean, pieces, splitmix, stored, words
+from .common import LOWER, buffers, drop_stored, give_back, hash_spans, lean, own_columns, pieces, splitmix, stored, words
 from .components import roots
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
@@ -285,17 +285,18 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, repeats: bool = True)
     one text's, a null id only where there is no other, and any of rows equal in both. Rows
     without shingles are linked with nothing and all stay."""
     judged = _judged(docs, percent)
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tkey", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    # the row goes along in one, so that no name can clash
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tkey"), F.struct(own_columns(docs)).alias("row"))
 
     def at(pairs: DataFrame, how: str) -> DataFrame:
-        named = pairs.select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t"))
-        return own.join(named, own._id.eqNullSafe(named._i) & (own._tkey == named._t), how)
+        named = pairs.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
+        return own.join(named, own.id.eqNullSafe(named.i) & (own.tkey == named.t), how)
 
     if repeats:
-        return at(judged.where("not kept").select("doc_id", "tkey").distinct(), "left_anti").select(docs.columns)
+        return at(judged.where("not kept").select("doc_id", "tkey").distinct(), "left_anti").select("row.*")
     # stored, as it is read twice; texts are shuffled only of what is there more than once
     pairs = judged.groupBy("doc_id", "tkey").agg(F.bool_and("chosen").alias("chosen"), (F.bool_and(F.col("n_shingles") > 0) & (F.count("*") > 1)).alias("more"))
     odd = stored(pairs.where("not chosen or more"), "repeats")
     alone = at(odd, "left_anti")
-    one = at(odd.where("chosen"), "left_semi").dropDuplicates(["_id", "_tkey"])
-    return alone.unionByName(one).select(docs.columns)
+    one = at(odd.where("chosen"), "left_semi").dropDuplicates(["id", "tkey"])
+    return alone.unionByName(one).select("row.*")

@@ -8,9 +8,9 @@ reported when the largest Shannon entropy of a window reaches the bound of the s
 character class. Strings that an allow-list pattern matches are left out.
 
 Cases: a null text is an empty one and has no span; rows are taken one by one, so
-repeated rows, ties and null ids change nothing; an empty table gives an empty one;
-columns of other names are carried along, and a column whose name is one of the results
-is replaced. Texts are scanned whole.
+repeated rows, ties and null ids change nothing; an empty table gives an empty one; `redact`
+carries other columns along whatever their names, `report` leaves them out, and `scan` replaces
+one that has the name of its result. Texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import running_starts
+from ..functions.arrays import running_reach, running_starts
+from .common import free_name, own_columns
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -33,8 +34,9 @@ ALLOWED = (
     r"[0-9+/_=-]+",
     r"/?([a-z]+[0-9]{0,4}[/_=-]){2,}+[a-z]*[0-9]{0,4}",
 )
-#: Least entropy in bits of a window of WINDOW characters, by class.
-BOUNDS = {"hex": 2.8, "lower": 3.7, "mixed": 3.6}
+#: Least entropy in bits of a window of WINDOW characters, by class: what all but one in 100
+#: random strings of 20 characters of the class reach (by simulation), and more of longer ones.
+BOUNDS = {"hex": 2.8, "lower": 3.4, "mixed": 3.6}
 WINDOW = 20
 
 
@@ -91,8 +93,8 @@ def _surprising(s: Column, allowed, bounds, window: int) -> Column:
     return ~quiet & (peak_entropy(s, window) >= bound)
 
 
-def scan(docs: DataFrame, text: str = "text", allowed=ALLOWED, bounds=BOUNDS, window: int = WINDOW) -> DataFrame:
-    """docs with `found`, the spans of every kind as array<struct<start, kind, end>> in
+def scan(docs: DataFrame, text: str = "text", allowed=ALLOWED, bounds=BOUNDS, window: int = WINDOW, into: str = "found") -> DataFrame:
+    """docs with `into`, the spans of every kind as array<struct<start, kind, end>> in
     code points, by start and then kind; kind is an index of KINDS."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kinds = [
@@ -101,7 +103,7 @@ def scan(docs: DataFrame, text: str = "text", allowed=ALLOWED, bounds=BOUNDS, wi
         _spans(t, HEX, 2),
         _spans(t, TOKEN, 3, lambda v: _surprising(v, allowed, bounds, window)),
     ]
-    return docs.withColumn("found", F.array_sort(F.concat(*kinds)))
+    return docs.withColumn(into, F.array_sort(F.concat(*kinds)))
 
 
 def spelled(found: Column) -> Column:
@@ -125,17 +127,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of `text` replaced by mark; overlapping spans give one."""
-    t = F.col("text")
-
-    def step(acc, x):
-        apart = x["start"] > acc["at"]
-        gap = t.substr(acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        first = acc["at"] < 0
-        out = F.when(first, F.concat(t.substr(F.lit(1), x["start"]), F.lit(mark))).when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(
-        F.col("found"), F.struct(F.lit(-1).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t) - acc["at"]))
-    )
-    return scan(docs).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(t)).drop("found")
+    """docs with each secret of `text` replaced by mark; spans that overlap or touch give one.
+    What lies between is gathered in pieces, which are joined once."""
+    t, found = F.col("text"), free_name(docs, "found")
+    reach = running_reach(F.transform(found, lambda x: x["end"]))
+    both = F.zip_with(F.col(found), reach, lambda x, before: F.struct(x["start"].alias("start"), before.alias("before")))
+    apart = F.filter(both, lambda x: x["start"] > x["before"])
+    pieces = F.transform(apart, lambda x: t.substr(F.greatest(x["before"], F.lit(0)) + 1, x["start"] - F.greatest(x["before"], F.lit(0))))
+    last = F.array_max(F.transform(found, lambda x: x["end"]))
+    clean = F.concat(F.array_join(pieces, mark), F.lit(mark), t.substr(last + 1, F.length(t) - last))
+    columns = [F.when(F.size(found) > 0, clean).otherwise(t).alias("text") if c == "text" else own for c, own in zip(docs.columns, own_columns(docs), strict=True)]
+    return scan(docs, into=found).select(columns)

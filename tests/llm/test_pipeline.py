@@ -145,3 +145,20 @@ def test_one_row_of_a_group_stays_where_ids_repeat(spark):
     assert all((x.text or "") == (docs_text or "") for x, docs_text in ((x, rows[int(x.source[1:])][1]) for x in out.collect()))
     after = {(x.doc_id, x.text) for x in corpus_pipeline.cut_repeated_passages(spark, out, "").collect()}
     assert (1, a) in after and (6, h) in after, "no document vanishes whole"
+
+
+def test_columns_of_any_name_go_through_every_stage(spark, corpus):
+    from pyspark.sql import functions as F
+
+    top, rows = corpus
+    names = ["found", "kept", "_key", "score", "n", "_id", "_tkey", "row", "id", "tkey", "key", "a.b"]
+    docs = table(spark, top, "documents").select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, top)
+        if name != "packing":
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert all(r[c] == f"{c}{r.doc_id}" for c in names)
+        else:
+            assert out.count() > 0
+        docs = out
