@@ -9,22 +9,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import globs, regexes
 from ..request import SearchRequest
-from ..sources.index import Index
+from ..sources.index import FOLDED_LETTERS, HELD_IDS, Index, part_of
 
-#: Up to so many ids, 8 MB, the candidates are sent to every task; more are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Files are named to the scan if they are at most this share of all; more are read anyway.
+SELECTIVE = 1 / 3
+#: Ids are pushed to the scan as so many ranges at most, and up to so many as a list.
+RANGES, LISTED = 64, 1000
 WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
 @dataclass(frozen=True)
 class Plan:
     """route: index, scan, empty or invalid. reason: why it isn't by index. gram: the
-    rarest mandatory gram; required: all that were looked up; df: files to look at."""
+    rarest mandatory gram; required: all that were looked up; df: files that have the rarest."""
 
     route: str
     reason: str | None = None
@@ -84,37 +88,115 @@ def plan(request: SearchRequest, index: Index | None) -> Plan:
         return Plan("scan", "no_indexed_gram")
     # ASCII folding misses two letters outside ASCII that fold to k and s
     blockers = request.ignore_case and any(c in "ks" for c in request.pattern.lower())
-    key = "folded" if request.ignore_case else "gram"
-    found = index.grams.where(F.col(key).isin(*wanted)).groupBy(F.col(key).alias("g")).agg(F.sum("df").alias("df")).orderBy("df", "g").collect()
+    known = index.frequencies
+    df = {g: sum(known.get(v, 0) for v in (case_variants(g) if request.ignore_case else [g])) for g in wanted}
+    found = sorted((n, g) for g, n in df.items() if n)
     if len(found) < len(wanted) and not blockers:
         return Plan("empty", None, None, wanted, 0)
-    if not found:
+    if len(found) < len(wanted):
         return Plan("index", None, None, wanted, 0, blockers)
-    return Plan("index", None, found[0].g, wanted, int(found[0].df), blockers)
+    return Plan("index", None, found[0][1], wanted, found[0][0], blockers)
 
 
-def candidates(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
-    """Ids of the files to look at."""
-    if plan_.gram is None or len(plan_.required) == 0:
-        ids = index.postings.select("file_id").limit(0)
+def _variants(plan_: Plan, request: SearchRequest, gram: str) -> list[str]:
+    return case_variants(gram) if request.ignore_case else [gram]
+
+
+def rarest_candidates(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
+    """Ids of the files that have the rarest gram, whatever their number."""
+    if plan_.gram is None:
+        return index.paths.select("file_id").limit(0)
+    ids = index.parts_of(_variants(plan_, request, plan_.gram)).select(F.explode("ids").alias("file_id"))
+    return ids.distinct() if request.ignore_case else ids
+
+
+def _named(plan_: Plan, request: SearchRequest, index: Index) -> np.ndarray | None:
+    """Ids of the files that have all required grams, where the rarest one's list may be held:
+    further lists only make fewer of them, and those too long to be held are left out."""
+    if plan_.gram is None:
+        ids = np.zeros(0, np.int64)
     else:
-        grams = case_variants(plan_.gram) if request.ignore_case else [plan_.gram]
-        ids = index.postings.where(F.col("gram").isin(*grams)).select("file_id")
-        ids = ids.distinct() if request.ignore_case else ids
+        known = index.frequencies
+        size = {g: sum(known.get(v, 0) for v in _variants(plan_, request, g)) for g in plan_.required}
+        if size[plan_.gram] > HELD_IDS:
+            return None
+        use, room = [], 4 * HELD_IDS
+        for g in sorted(plan_.required, key=lambda g: (size[g], g)):
+            if size[g] <= HELD_IDS and (room := room - size[g]) >= 0:
+                use.append(g)
+        lists = index.ids_of(sorted({v for g in use for v in _variants(plan_, request, g) if v in known}))
+        ids = None
+        for g in use:
+            own = np.unique(np.concatenate([lists[v] for v in _variants(plan_, request, g) if v in lists]))
+            ids = own if ids is None else np.intersect1d(ids, own, assume_unique=True)
     if plan_.blockers:
-        ids = ids.union(index.files.where(F.col("text").contains("\u212a") | F.col("text").contains("\u017f")).select("file_id")).distinct()
+        ids = np.union1d(ids, index.ids_of([FOLDED_LETTERS])[FOLDED_LETTERS])
     return ids
 
 
+def _by_path(request: SearchRequest, index: Index) -> np.ndarray | None:
+    """Ids of the files whose paths a scope or glob takes, if they are few; without texts."""
+    if request.path is None and request.glob is None:
+        return None
+    few = int(min(HELD_IDS, index.size * SELECTIVE))
+
+    def look():
+        got = visible(index.paths, request).select("file_id").limit(few + 1).toArrow().column("file_id")
+        return None if len(got) > few else np.unique(np.asarray(got.combine_chunks(), np.int64))
+
+    return index.held(("path", request.path, request.glob, request.hidden, request.no_ignore), look)
+
+
+def ranges(ids: np.ndarray, most: int = RANGES) -> list[tuple[int, int]]:
+    """The fewest and narrowest ranges over rising ids: cut at the widest gaps."""
+    if not len(ids):
+        return []
+    gaps = np.diff(ids.astype(object) if len(ids) and (int(ids[-1]) - int(ids[0])) >= 2**63 else ids)
+    cut = np.sort(np.argsort(-gaps.astype(np.float64), kind="stable")[: most - 1])
+    cut = cut[[gaps[i] > 1 for i in cut]] if len(cut) else cut
+    return list(zip(ids[np.append(0, cut + 1)].tolist(), ids[np.append(cut, len(ids) - 1)].tolist(), strict=True))
+
+
+def at_ids(index: Index, ids: np.ndarray) -> DataFrame:
+    """The index's files with these rising ids. Parts are chosen by their folders and pages by
+    ranges of ids; then the ids themselves decide."""
+    if not len(ids):
+        return index.files.limit(0)
+    near = F.expr(" OR ".join(f"file_id = {a}L" if a == b else f"(file_id >= {a}L AND file_id <= {b}L)" for a, b in ranges(ids)))
+    parts = np.unique(part_of(ids, index.parts))
+    some = index.files.where(near)
+    if len(parts) < min(index.parts, LISTED):
+        some = some.where(F.col("part").isin(*parts.tolist()))
+    if len(ids) <= LISTED:
+        return some.where("file_id IN (" + ", ".join(f"{i}L" for i in ids.tolist()) + ")")
+    return some.join(F.broadcast(index.files.sparkSession.createDataFrame(pa.table({"file_id": ids}))), "file_id", "left_semi")
+
+
+def candidates(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
+    """Ids of the files that may match, by content."""
+    ids = _named(plan_, request, index) if plan_.route == "index" else np.zeros(0, np.int64)
+    if ids is None:
+        ids = rarest_candidates(plan_, request, index)
+        return ids.union(index.parts_of([FOLDED_LETTERS]).select(F.explode("ids"))).distinct() if plan_.blockers else ids
+    return index.files.sparkSession.createDataFrame(pa.table({"file_id": ids}))
+
+
 def narrowed(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
-    """The index's files that a plan leaves to look at."""
+    """The index's files that a plan leaves to look at: those that its grams and its paths name,
+    if they are few enough to be worth it. Lists too long to be held are joined by shuffle."""
     if plan_.route == "empty":
         return index.files.limit(0)
+    by_path = _by_path(request, index)
     if plan_.route != "index":
+        return index.files if by_path is None else at_ids(index, by_path)
+    ids = _named(plan_, request, index)
+    if by_path is not None:
+        ids = by_path if ids is None else np.intersect1d(ids, by_path, assume_unique=True)
+    if ids is not None:
+        return at_ids(index, ids) if len(ids) <= index.size * SELECTIVE else index.files
+    if plan_.df > index.size * SELECTIVE:
         return index.files
-    ids = candidates(plan_, request, index)
-    small = not plan_.blockers and (plan_.df or 0) <= BROADCAST_IDS
-    return index.files.join(F.broadcast(ids) if small else ids, "file_id", "left_semi")
+    return index.files.join(candidates(plan_, request, index), "file_id", "left_semi")
 
 
 def visible(files: DataFrame, request: SearchRequest) -> DataFrame:

@@ -33,8 +33,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that the cluster names, or in a temporary one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sieveline-")
+    """A new folder in the shared folder that the cluster names. Where none is named, in a
+    temporary one, but only in a local session: a cluster's executors don't share it."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="sieveline-")
     return f"{top.rstrip('/')}/sieveline/{name}-{uuid.uuid4().hex}"
 
 
@@ -149,12 +154,12 @@ def casefold_gram_union(spark, sf_dir):
     request = literal(FOLDED, ignore_case=True)
     own = built(spark, sf_dir)
     plan = planner.plan(request, own)
-    return planner.candidates(plan, request, own).select("file_id", F.lit(plan.gram).alias("gram"))
+    return planner.rarest_candidates(plan, request, own).select("file_id", F.lit(plan.gram).alias("gram"))
 
 
 def candidate_semi_join(spark, sf_dir):
     request, own = literal(RARE), built(spark, sf_dir)
-    return planner.narrowed(planner.plan(request, own), request, own).select("file_id", "path")
+    return own.paths.join(planner.candidates(planner.plan(request, own), request, own), "file_id", "left_semi").select("file_id", "path")
 
 
 def candidate_superset_check(spark, sf_dir):
@@ -162,7 +167,7 @@ def candidate_superset_check(spark, sf_dir):
     candidates, of which there are none."""
     own, out = built(spark, sf_dir), None
     for name, request in (("literal", literal(RARE)), ("folded", literal(FOLDED, ignore_case=True)), ("regex", regex())):
-        ids = planner.narrowed(planner.plan(request, own), request, own).select("file_id", F.lit(1).alias("c"), F.lit(0).alias("v"))
+        ids = planner.candidates(planner.plan(request, own), request, own).select("file_id", F.lit(1).alias("c"), F.lit(0).alias("v"))
         hit = search.matches(own.files, request).select("file_id").distinct().select("file_id", F.lit(0).alias("c"), F.lit(1).alias("v"))
         each = ids.unionByName(hit).groupBy("file_id").agg(F.max("c").alias("c"), F.max("v").alias("v"))
         row = each.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in ((F.col("c"), "n_candidates"), (F.col("v"), "n_verified"), (F.col("v") * (1 - F.col("c")), "n_missed"))))
@@ -438,8 +443,12 @@ def _needed(pattern: str) -> str:
     return ", ".join(f"('{pattern}', '{g}')" for g in planner.required_grams(literal(pattern))) or f"('{pattern}', NULL)"
 
 
-_RARE = f"""WITH {_FILES}, {_GRAMS}, df AS (SELECT gram, count(*) AS df FROM postings GROUP BY gram),
-one AS (SELECT gram FROM df WHERE gram IN ({", ".join(f"'{g}'" for g in planner.required_grams(literal(RARE)))}) ORDER BY df, gram LIMIT 1)"""
+def _having(grams, fold: bool = False) -> str:
+    """Ids of the files that have all of these grams."""
+    gram = "lower(gram)" if fold else "gram"
+    return f"SELECT file_id FROM postings WHERE {gram} IN ({', '.join(repr(g) for g in grams)}) GROUP BY file_id HAVING count(DISTINCT {gram}) = {len(grams)}"
+
+
 _CONTEXT = f"""WITH {_lines()}, shown AS (
   SELECT *, contains(line, '{RARE}') AS hit FROM lines),
 near AS (SELECT *, max(hit) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {WIDTH} PRECEDING AND {WIDTH} FOLLOWING) AS near FROM shown),
@@ -469,11 +478,9 @@ def _route_counts() -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS request, 0::BIGINT AS missing, 0::BIGINT AS extra, (SELECT count(*) FROM ({sql})) AS n_rows" for name, sql in counts.items())
 
 
-def _candidates(name: str, grams: list[str], hit: str, fold: bool = False) -> str:
-    gram = "lower(gram)" if fold else "gram"
-    listed = ", ".join(f"'{g}'" for g in grams)
+def _candidates(name: str, grams, hit: str, fold: bool = False) -> str:
     return f"""SELECT '{name}' AS request, count(*) FILTER (c) AS n_candidates, count(*) FILTER (v) AS n_verified, count(*) FILTER (v AND NOT c) AS n_missed FROM (
-  SELECT file_id, {hit} AS v, file_id IN (SELECT file_id FROM postings WHERE {gram} = (SELECT {gram} FROM postings WHERE {gram} IN ({listed}) GROUP BY {gram} ORDER BY count(*), {gram} LIMIT 1)) AS c FROM files)"""
+  SELECT file_id, {hit} AS v, file_id IN ({_having(grams, fold)}) AS c FROM files)"""
 
 
 ORACLE = {
@@ -521,7 +528,7 @@ SELECT path, line_no, row, bytes FROM summed WHERE bytes <= {present.OUTPUT_BYTE
 SELECT pattern, count(need.gram) AS n_needed, count(df) AS n_known, arg_min(df.gram, (df, df.gram)) AS gram, min(df) AS df FROM need LEFT JOIN df ON df.gram = need.gram GROUP BY pattern""",
     "casefold_gram_union": f"""WITH {_FILES}, {_GRAMS}, f AS (SELECT lower(gram) AS g, count(*) AS df FROM postings WHERE lower(gram) IN ({", ".join(f"'{g}'" for g in planner.required_grams(literal(FOLDED, ignore_case=True)))}) GROUP BY 1),
 one AS (SELECT g FROM f ORDER BY df, g LIMIT 1) SELECT DISTINCT file_id, g AS gram FROM postings JOIN one ON lower(gram) = g""",
-    "candidate_semi_join": f"{_RARE} SELECT file_id, path FROM files WHERE file_id IN (SELECT file_id FROM postings JOIN one USING (gram))",
+    "candidate_semi_join": f"WITH {_FILES}, {_GRAMS} SELECT file_id, path FROM files WHERE file_id IN ({_having(planner.required_grams(literal(RARE)))})",
     "candidate_superset_check": f"WITH {_FILES}, {_GRAMS} "
     + " UNION ALL ".join(
         [

@@ -1,17 +1,29 @@
 """The trigram index: postings and document frequencies, in generations.
 
-A generation is a folder of Parquet tables; a manifest beside them names the one in use.
-Postings are sorted by gram, so that a lookup of a few grams reads a few row groups.
+A generation is a folder of Parquet tables. Files are dealt out to parts by their ids
+and lie there in the order of ids, in small pages, so that a search that names its files reads
+little else: parts by their folders, pages by their least and greatest ids. `paths` has the same
+without texts. A posting list is the ids of one gram in one part, rising, which Parquet keeps as
+differences; lists are sorted by gram, so that a lookup of a few grams reads a few pages.
+
+A generation's number is claimed by a file that only one writer can create, and its manifest,
+named by the number, appears in one step when all is written. The one in use is the greatest
+that has a manifest, so a reader always finds a whole one, and writers can't meet.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 GRAM = "(?=([A-Za-z0-9_]{3}))"
 
@@ -37,19 +49,102 @@ def digest(files: DataFrame) -> DataFrame:
     return files.select(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), total.alias("digest"))
 
 
+#: The list of files with a letter that only folding makes ASCII: Kelvin sign, long s.
+FOLDED_LETTERS = "\u212a\u017f"
+PART_BYTES, PAGE_ROWS = 32 << 20, 32
+#: Of so many ids at most, 8 MB, a list may be held by the driver.
+HELD_IDS = 1_000_000
+
+
+def posting_lists(files: DataFrame) -> DataFrame:
+    """gram, part, ids of files(file_id, part, text). Lists are begun before the shuffle."""
+    odd = F.when(F.col("text").rlike(f"[{FOLDED_LETTERS}]"), F.array(F.lit(FOLDED_LETTERS))).otherwise(F.array().cast("array<string>"))
+    grams = F.concat(F.array_distinct(F.regexp_extract_all("text", F.lit(GRAM), F.lit(1))), odd)
+    each = files.select("file_id", "part", F.explode(grams).alias("gram"))
+    return each.groupBy("gram", "part").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
+
+
+def list_frequencies(lists: DataFrame) -> DataFrame:
+    """What frequencies() gives, of posting lists."""
+    key = F.conv(F.hex(F.encode("gram", "UTF-8")), 16, 10).cast("int")
+    df = lists.where(F.col("gram") != FOLDED_LETTERS).groupBy("gram").agg(F.sum(F.size("ids")).alias("df"))
+    return df.select("gram", key.alias("gram_key"), F.lower("gram").alias("folded"), "df")
+
+
 @dataclass
 class Index:
-    """Tables of one generation. `files` are the files it was built of."""
+    """Tables of one generation. `files` are the files it was built of, with their parts."""
 
     files: DataFrame
-    postings: DataFrame
+    paths: DataFrame
+    lists: DataFrame
     grams: DataFrame
     generation: int = 0
+    n_files: int | None = None
+    slots: int = 1
+    parts: int = 1
+    _held: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def in_memory(cls, files: DataFrame) -> Index:
-        posted = postings(files)
-        return cls(files, posted, frequencies(posted))
+        own = files.withColumn("part", F.lit(0))
+        lists = posting_lists(own)
+        return cls(own, own.drop("text"), lists, list_frequencies(lists))
+
+    @property
+    def postings(self) -> DataFrame:
+        """gram, file_id."""
+        return self.lists.where(F.col("gram") != FOLDED_LETTERS).select("gram", F.explode("ids").alias("file_id"))
+
+    @property
+    def size(self) -> int:
+        if self.n_files is None:
+            self.n_files = self.files.count()
+        return self.n_files
+
+    def held(self, key, make):
+        """make(), kept for later searches; what was kept first goes first."""
+        if key not in self._held:
+            while len(self._held) >= 64:
+                self._held.pop(next(iter(self._held)))
+            self._held[key] = make()
+        return self._held[key]
+
+    @property
+    def frequencies(self) -> dict[str, int]:
+        """df of each gram: of 63 characters there are no more than 250,047."""
+        return self.held("frequencies", lambda: {r.gram: r.df for r in self.grams.select("gram", "df").collect()})
+
+    def parts_of(self, grams: list[str]) -> DataFrame:
+        """gram, part, ids of these grams."""
+        rows = self.lists.where(F.col("gram").isin(*grams))
+        if "slot" in self.lists.columns:
+            rows = rows.where(F.col("slot").isin(*sorted({slot_of(g, self.slots) for g in grams})))
+        return rows
+
+    def ids_of(self, grams: list[str]) -> dict[str, np.ndarray]:
+        """The rising ids of grams whose lists, by their known frequencies, may be held."""
+        new = [g for g in grams if ("ids", g) not in self._held]
+        if new:
+            got = self.parts_of(new).select("gram", "ids").toArrow()
+            names, lists = np.array(got.column("gram").to_pylist(), object), got.column("ids").combine_chunks()
+            for g in new:
+                self.held(("ids", g), lambda g=g: np.unique(np.asarray(lists.take(pa.array(np.flatnonzero(names == g))).flatten(), np.int64)))
+        return {g: self.held(("ids", g), lambda: np.zeros(0, np.int64)) for g in grams}
+
+
+def part_of(file_id, parts: int):
+    """The part of an id, or of a whole array's; _part says the same on columns."""
+    return (file_id ^ (file_id >> 17) ^ (file_id >> 31)) % parts
+
+
+def _part(parts: int) -> Column:
+    i = F.col("file_id").cast("long")
+    return F.pmod(i.bitwiseXOR(F.shiftright(i, 17)).bitwiseXOR(F.shiftright(i, 31)), F.lit(parts)).cast("int")
+
+
+def slot_of(gram: str, slots: int) -> int:
+    return int.from_bytes(gram.encode()[:3], "big") % slots
 
 
 def _fs(spark: SparkSession, path: str):
@@ -79,42 +174,93 @@ def get_text(spark: SparkSession, path: str) -> str | None:
     return text
 
 
-def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd") -> Index:
-    """Builds a new generation and then makes it the one in use."""
+def _names(spark: SparkSession, folder: str, pattern: str) -> list[tuple[int, str]]:
+    """Numbers and names of what lies in a folder under such a name, rising."""
+    fs, at = _fs(spark, folder)
+    if not fs.exists(at):
+        return []
+    names = (status.getPath().getName() for status in fs.listStatus(at))
+    return sorted((int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n)))
+
+
+def _claimed(spark: SparkSession, folder: str) -> int:
+    """A generation number that no other writer has."""
+    fs, at = _fs(spark, folder)
+    fs.mkdirs(at)
+    taken = [n for n, _ in _names(spark, folder, r"(?:gen=|claim-|manifest-)(\d+)(?:\.json)?")]
+    n = max(taken, default=0)
+    while True:
+        n += 1
+        try:
+            fs.create(_fs(spark, f"{folder}/claim-{n}")[1], False).close()
+            return n
+        except Py4JJavaError as why:
+            if not fs.exists(_fs(spark, f"{folder}/claim-{n}")[1]):
+                raise why
+
+
+def _bytes_of(files: DataFrame) -> int:
+    """About how large files are: what the optimizer thinks, or, where it knows nothing, a sum."""
+    guess = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 60 else files.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def manifest(spark: SparkSession, folder: str) -> dict | None:
+    """That of the generation in use."""
+    found = _names(spark, folder, r"manifest-(\d+)\.json")
+    return json.loads(get_text(spark, f"{folder}/{found[-1][1]}")) if found else None
+
+
+def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd", part_bytes: int = PART_BYTES) -> Index:
+    """Builds a new generation and then makes it the one in use. `snapshot` names the state of
+    the source that the files are of."""
     spark = files.sparkSession
-    old = get_text(spark, f"{folder}/manifest.json")
-    generation = json.loads(old)["generation"] + 1 if old else 1
+    generation = _claimed(spark, folder)
     at = f"{folder}/gen={generation}"
-    files.write.mode("overwrite").option("compression", codec).parquet(f"{at}/files")
-    kept = spark.read.parquet(f"{at}/files")
-    postings(kept).repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").option("compression", codec).parquet(f"{at}/postings")
-    frequencies(spark.read.parquet(f"{at}/postings")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").option("compression", codec).parquet(f"{at}/grams")
+    size = _bytes_of(files)
+    # enough parts for every core, unless they would be tiny
+    parts = max(1, -(-size // part_bytes), min(spark.sparkContext.defaultParallelism, size >> 18))
+    slots = max(1, min(256, parts // 4))
+    dealt = files.withColumn("part", _part(parts))
+    whole = dealt.repartition("part").sortWithinPartitions("part", "file_id").write.mode("overwrite")
+    whole.option("compression", codec).option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.page.size.row.check.min", PAGE_ROWS).partitionBy("part").parquet(f"{at}/files")
+    kept = spark.read.schema(dealt.schema).parquet(f"{at}/files")
+    kept.drop("text").sortWithinPartitions("path").write.mode("overwrite").option("compression", codec).parquet(f"{at}/paths")
+    slot = F.pmod(F.conv(F.hex(F.substring(F.encode("gram", "UTF-8"), 1, 3)), 16, 10).cast("long"), F.lit(slots)).cast("int")
+    lists = posting_lists(kept).withColumn("slot", slot).repartition("slot", "gram").sortWithinPartitions("slot", "gram", "part")
+    lists.write.mode("overwrite").option("compression", codec).option("parquet.writer.version", "PARQUET_2_0").partitionBy("slot").parquet(f"{at}/lists")
+    found = spark.read.schema(lists.schema).parquet(f"{at}/lists")
+    list_frequencies(found).coalesce(1).sortWithinPartitions("gram").write.mode("overwrite").option("compression", codec).parquet(f"{at}/grams")
     n, size, total = digest(kept).first()
-    put_text(spark, f"{folder}/manifest.json", json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "built_at": time.time()}))
+    put_text(
+        spark, f"{folder}/manifest-{generation}.json",
+        json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "slots": slots, "parts": parts, "schema": dealt.schema.jsonValue(), "built_at": time.time()}),
+    )
     return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str, check: bool = False) -> Index:
     """The generation in use; check: whether its files still have the manifest's digest."""
-    text = get_text(spark, f"{folder}/manifest.json")
-    if text is None:
+    own = manifest(spark, folder)
+    if own is None:
         raise FileNotFoundError(folder)
-    manifest = json.loads(text)
-    at = f"{folder}/gen={manifest['generation']}"
-    index = Index(*(spark.read.parquet(f"{at}/{t}") for t in ("files", "postings", "grams")), manifest["generation"])
-    if check and tuple(digest(index.files).first()) != (manifest["n_files"], manifest["n_bytes"], manifest["digest"]):
+    at = f"{folder}/gen={own['generation']}"
+    schema = StructType.fromJson(own["schema"])
+    files = spark.read.schema(schema).parquet(f"{at}/files")
+    lists = spark.read.schema(f"gram string, part int, ids array<{schema['file_id'].dataType.simpleString()}>, slot int").parquet(f"{at}/lists")
+    index = Index(files, spark.read.parquet(f"{at}/paths"), lists, spark.read.parquet(f"{at}/grams"), own["generation"], own["n_files"], slots=own["slots"], parts=own["parts"])
+    if check and tuple(digest(index.files).first()) != (own["n_files"], own["n_bytes"], own["digest"]):
         raise ValueError("the index does not have the contents that its manifest names")
     return index
 
 
 def vacuum(spark: SparkSession, folder: str, keep: int = 1) -> list[str]:
-    """Deletes generations before the `keep` last ones; says which."""
-    now = json.loads(get_text(spark, f"{folder}/manifest.json"))["generation"]
-    fs, at = _fs(spark, folder)
-    gone = []
-    for status in fs.listStatus(at):
-        name = status.getPath().getName()
-        if name.startswith("gen=") and int(name[4:]) <= now - keep:
-            fs.delete(status.getPath(), True)
-            gone.append(name)
-    return sorted(gone)
+    """Deletes generations before the `keep` last ones, with their manifests; says which. What
+    lies there without a manifest and is younger than the one in use may be at work and stays."""
+    now = manifest(spark, folder)["generation"]
+    fs, _ = _fs(spark, folder)
+    old = [(n, name) for n, name in _names(spark, folder, r"(?:manifest-|claim-|gen=)(\d+)(?:\.json)?") if n <= now - keep]
+    # a manifest goes before what it names
+    for _, name in sorted(old, key=lambda x: (not x[1].startswith("manifest"), x)):
+        fs.delete(_fs(spark, f"{folder}/{name}")[1], True)
+    return sorted(name for _, name in old if name.startswith("gen="))
