@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs, regexes
 from ..request import SearchRequest
-from ..sources.index import FOLDED_LETTERS, HELD_IDS, Index, part_of
+from ..sources.index import FOLDED_LETTERS, HELD_IDS, Index
 
 #: Files are named to the scan if they are at most this share of all; more are read anyway.
 SELECTIVE = 1 / 3
@@ -163,9 +163,9 @@ def at_ids(index: Index, ids: np.ndarray) -> DataFrame:
     if not len(ids):
         return index.files.limit(0)
     near = F.expr(" OR ".join(f"file_id = {a}L" if a == b else f"(file_id >= {a}L AND file_id <= {b}L)" for a, b in ranges(ids)))
-    parts = np.unique(part_of(ids, index.parts))
+    parts = index.parts_at(ids)
     some = index.files.where(near)
-    if len(parts) < min(index.parts, LISTED):
+    if len(parts) < min(len(index.parts), LISTED):
         some = some.where(F.col("part").isin(*parts.tolist()))
     if len(ids) <= LISTED:
         return some.where("file_id IN (" + ", ".join(f"{i}L" for i in ids.tolist()) + ")")

@@ -1,7 +1,7 @@
 """The trigram index: postings and document frequencies, in generations.
 
-A generation is a folder of Parquet tables. Files are dealt out to parts by their ids
-and lie there in the order of ids, in small pages, so that a search that names its files reads
+A generation is a folder of Parquet tables. Files are dealt out to parts by
+ranges of their ids and lie there in the order of ids, in small pages, so that a search that names its files reads
 little else: parts by their folders, pages by their least and greatest ids. `paths` has the same
 without texts. A posting list is the ids of one gram in one part, rising, which Parquet keeps as
 differences; lists are sorted by gram, so that a lookup of a few grams reads a few pages.
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,6 +52,7 @@ def digest(files: DataFrame) -> DataFrame:
 #: The list of files with a letter that only folding makes ASCII: Kelvin sign, long s.
 FOLDED_LETTERS = "\u212a\u017f"
 PART_BYTES, PAGE_ROWS = 32 << 20, 32
+MOST_PARTS = 50_000
 #: Of so many ids at most, 8 MB, a list may be held by the driver.
 HELD_IDS = 1_000_000
 
@@ -82,7 +83,7 @@ class Index:
     generation: int = 0
     n_files: int | None = None
     slots: int = 1
-    parts: int = 1
+    parts: tuple = ((0, -(2**63)),)  # part and least id, by id
     _held: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -96,6 +97,11 @@ class Index:
         """gram, file_id."""
         return self.lists.where(F.col("gram") != FOLDED_LETTERS).select("gram", F.explode("ids").alias("file_id"))
 
+    def parts_at(self, ids: np.ndarray) -> np.ndarray:
+        """The parts in which ids would lie."""
+        number, least = (np.array(x, np.int64) for x in zip(*self.parts, strict=True))
+        return np.unique(number[np.maximum(np.searchsorted(least, ids, "right") - 1, 0)])
+
     @property
     def size(self) -> int:
         if self.n_files is None:
@@ -133,16 +139,6 @@ class Index:
         return {g: self.held(("ids", g), lambda: np.zeros(0, np.int64)) for g in grams}
 
 
-def part_of(file_id, parts: int):
-    """The part of an id, or of a whole array's; _part says the same on columns."""
-    return (file_id ^ (file_id >> 17) ^ (file_id >> 31)) % parts
-
-
-def _part(parts: int) -> Column:
-    i = F.col("file_id").cast("long")
-    return F.pmod(i.bitwiseXOR(F.shiftright(i, 17)).bitwiseXOR(F.shiftright(i, 31)), F.lit(parts)).cast("int")
-
-
 def slot_of(gram: str, slots: int) -> int:
     return int.from_bytes(gram.encode()[:3], "big") % slots
 
@@ -219,11 +215,11 @@ def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd"
     at = f"{folder}/gen={generation}"
     size = _bytes_of(files)
     # enough parts for every core, unless they would be tiny
-    parts = max(1, -(-size // part_bytes), min(spark.sparkContext.defaultParallelism, size >> 18))
+    parts = max(1, min(MOST_PARTS, -(-size // part_bytes)), min(spark.sparkContext.defaultParallelism, size >> 18))
     slots = max(1, min(256, parts // 4))
-    dealt = files.withColumn("part", _part(parts))
-    whole = dealt.repartition("part").sortWithinPartitions("part", "file_id").write.mode("overwrite")
-    whole.option("compression", codec).option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.page.size.row.check.min", PAGE_ROWS).partitionBy("part").parquet(f"{at}/files")
+    dealt = files.repartitionByRange(parts, "file_id").withColumn("part", F.spark_partition_id())
+    whole = dealt.sortWithinPartitions("part", "file_id").write.mode("overwrite").option("compression", codec).partitionBy("part")
+    whole.option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.page.size.row.check.min", PAGE_ROWS).parquet(f"{at}/files")
     kept = spark.read.schema(dealt.schema).parquet(f"{at}/files")
     kept.drop("text").sortWithinPartitions("path").write.mode("overwrite").option("compression", codec).parquet(f"{at}/paths")
     slot = F.pmod(F.conv(F.hex(F.substring(F.encode("gram", "UTF-8"), 1, 3)), 16, 10).cast("long"), F.lit(slots)).cast("int")
@@ -232,9 +228,10 @@ def write(files: DataFrame, folder: str, snapshot: str = "", codec: str = "zstd"
     found = spark.read.schema(lists.schema).parquet(f"{at}/lists")
     list_frequencies(found).coalesce(1).sortWithinPartitions("gram").write.mode("overwrite").option("compression", codec).parquet(f"{at}/grams")
     n, size, total = digest(kept).first()
+    least = sorted((r.least, r.part) for r in spark.read.parquet(f"{at}/paths").groupBy("part").agg(F.min("file_id").alias("least")).collect())
     put_text(
         spark, f"{folder}/manifest-{generation}.json",
-        json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "slots": slots, "parts": parts, "schema": dealt.schema.jsonValue(), "built_at": time.time()}),
+        json.dumps({"generation": generation, "snapshot": snapshot, "n_files": n, "n_bytes": size, "digest": total, "slots": slots, "parts": [(part, i) for i, part in least], "schema": dealt.schema.jsonValue(), "built_at": time.time()}),
     )
     return open_index(spark, folder)
 
@@ -248,7 +245,7 @@ def open_index(spark: SparkSession, folder: str, check: bool = False) -> Index:
     schema = StructType.fromJson(own["schema"])
     files = spark.read.schema(schema).parquet(f"{at}/files")
     lists = spark.read.schema(f"gram string, part int, ids array<{schema['file_id'].dataType.simpleString()}>, slot int").parquet(f"{at}/lists")
-    index = Index(files, spark.read.parquet(f"{at}/paths"), lists, spark.read.parquet(f"{at}/grams"), own["generation"], own["n_files"], slots=own["slots"], parts=own["parts"])
+    index = Index(files, spark.read.parquet(f"{at}/paths"), lists, spark.read.parquet(f"{at}/grams"), own["generation"], own["n_files"], slots=own["slots"], parts=tuple(map(tuple, own["parts"])) or Index.parts)
     if check and tuple(digest(index.files).first()) != (own["n_files"], own["n_bytes"], own["digest"]):
         raise ValueError("the index does not have the contents that its manifest names")
     return index

@@ -273,7 +273,7 @@ def test_a_search_reads_little_else_than_its_candidates(spark, tmp_path):
     rows = [(i, f"d{i % 50}/f{i}.txt", "common words " * 20 + (f"needle_{i}_z" if i % 500 == 7 else "")) for i in range(4000)]
     files = spark.createDataFrame(rows, "file_id long, path string, text string")
     own = I.write(files, f"file://{tmp_path}/index", part_bytes=100_000)
-    assert own.parts > 5 and sum(1 for _ in os.scandir(f"{tmp_path}/index/gen=1/files") if _.name.startswith("part=")) == own.parts
+    assert len(own.parts) > 5 and sum(1 for _ in os.scandir(f"{tmp_path}/index/gen=1/files") if _.name.startswith("part=")) == len(own.parts)
 
     def read(found):
         got = found.collect()
