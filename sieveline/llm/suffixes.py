@@ -411,6 +411,8 @@ def _sort_stretches(batches, size: int):
         rest = batch.filter(batch.column("around").is_valid())
         bucket = np.asarray(rest.column("bucket"))
         leads = [x[m : m + LEAD] if m is not None else b"" for x, m in zip(rest.column("around").to_pylist(), rest.column("most").to_pylist(), strict=True)]
+        if not leads:
+            continue
         new = np.flatnonzero([x != y for x, y in zip(leads, [before, *leads[:-1]], strict=True)])
         changes = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
         at = 0
