@@ -106,6 +106,17 @@ class Shard:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         row = place[row]
+        # a posting of most rows lists the others too, with 0, and needs no look-up
+        kinds, of, size = np.unique(dims, return_inverse=True, return_counts=True)
+        wide = np.flatnonzero((2 * size >= n) & (size < n))
+        if len(wide):
+            lacks = np.ones((len(wide), n), bool)
+            at = np.searchsorted(wide, of)
+            at[at == len(wide)] = 0
+            some = wide[at] == of
+            lacks[at[some], row[some]] = False
+            which, rest = np.nonzero(lacks)
+            row, dims, values = np.append(row, rest), np.append(dims, kinds[wide[which]]), np.append(values, np.zeros(len(rest)))
         by = np.lexsort((row, dims))
         self.row, self.value = row[by], values[by]
         self.dims, which = np.unique(dims[by], return_inverse=True)
@@ -308,7 +319,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     rows = ready.withColumn("s", lane(shards, 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("u", F.floor(F.col("s") / per).cast("int"))
     asked = ready.where(asks).withColumn("g", lane(groups, 2)).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("s", F.lit(-1))
     names = ["g", "u", "s", "id", "h", "n", "v"]
-    laid = rows.select(names).unionByName(asked.select(names)).repartition(groups * cells, "g", "u").sortWithinPartitions("g", "u", "s", "id", "h")
+    laid = rows.select(names).unionByName(asked.select(names)).repartition(4 * groups * cells, "g", "u").sortWithinPartitions("g", "u", "s", "id", "h")
     lists = laid.mapInArrow(_cells(k), "query_id long, query_hash long, query_copies long, vec_id long, score long, key binary")
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("key"), "vec_id")
     best = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
