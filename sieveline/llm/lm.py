@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, buffers, crc32_of, drop_stored, give_back, hash_spans, lean, pieces, splitmix, stored, words
 
-ORDER, BLOCK_BYTES, SHARD_ENTRIES, LANE = 3, 12 << 20, 1 << 20, 512
+ORDER, BLOCK_BYTES, SHARD_ENTRIES, LANE = 3, 8 << 20, 1 << 20, 512
 BLOCKS_A_TASK = 8
 STRENGTHS = (1.0, 8.0, 64.0, 512.0, 4096.0, 32768.0)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
