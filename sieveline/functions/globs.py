@@ -43,27 +43,55 @@ def _segment(text: str) -> str:
             body = text[i + 1 : end]
             out += "[" + ("^/" if body[0] in "!^" else "") + body[body[0] in "!^" :].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&") + "]"
             i = end
-        elif c == "{" and (end := text.find("}", i)) > 0:
-            out += "(?:" + "|".join(map(_segment, text[i + 1 : end].split(","))) + ")"
-            i = end
         else:
             out += _quoted(c)
         i += 1
     return out
 
 
+def expanded(glob: str) -> list[str]:
+    """A glob's alternatives: braces, which may hold slashes and further braces, come before
+    anything else. A brace that isn't closed stands for itself."""
+    i, start, depth, cuts = 0, -1, 0, []
+    while i < len(glob):
+        c = glob[i]
+        if c == "\\":
+            i += 1
+        elif c == "[" and not depth and (end := glob.find("]", i + 2)) > 0:
+            i = end
+        elif c == "{":
+            if not depth:
+                start, cuts = i, [i]
+            depth += 1
+        elif c == "," and depth == 1:
+            cuts.append(i)
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                cuts.append(i)
+                bodies = [glob[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                return list(dict.fromkeys(x for body in bodies for x in expanded(glob[:start] + body + glob[i + 1 :])))
+        i += 1
+    return [glob]
+
+
 def to_regex(glob: str) -> str:
     """An anchored pattern. Without a slash the glob is for names at any depth; with one
     it is for whole paths."""
+    each = list(map(_one_regex, expanded(glob)))
+    return f"^{each[0]}$" if len(each) == 1 else "^(?:" + "|".join(each) + ")$"
+
+
+def _one_regex(glob: str) -> str:
     if "/" not in glob:
-        return f"^(?:.*/)?{_segment(glob)}$"
+        return f"(?:.*/)?{_segment(glob)}"
     out, parts = "", glob.lstrip("/").split("/")
     for i, part in enumerate(parts):
         if part == "**":
             out += ".*" if i == len(parts) - 1 else "(?:[^/]+/)*"
         else:
             out += _segment(part) + ("/" if i < len(parts) - 1 else "")
-    return f"^{out}$"
+    return out
 
 
 def matches(path: Column, glob: str | None) -> Column:

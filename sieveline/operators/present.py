@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
+from .search import in_order
+
 LINE_CHARS, OUTPUT_BYTES, NOTICE_BYTES = 500, 50 * 1024, 128
 #: Fixed formats of the texts shown.
 CUT, GAP, NONE = "... [truncated]", "--", "No matches found"
@@ -69,11 +71,24 @@ def notice(displayed: int, total: int, limit: int | None) -> str | None:
     return f"Showing {displayed} of {total} matches (limit {displayed if limit is None else limit}). Increase limit or narrow path/glob"
 
 
+def once(result):
+    """A result's lines and totals by one pass over the files: the totals are observed while the
+    first lines are found, and those, up to the limit, are held. Without a limit nothing is."""
+    if result.request.line_limit is None:
+        return result.matches, result.totals.first()
+    spark, seen = result.found.sparkSession, Observation()
+    limit = result.request.line_limit
+    counted = result.found.observe(seen, F.count("*").alias("lines"))
+    rows = in_order(counted).limit(max(limit, 1)).collect()[:limit]
+    n = seen.get["lines"] or 0
+    return spark.createDataFrame(rows, result.found.schema), Row(total_matches=n, displayed=min(n, limit), truncated=n > limit)
+
+
 def to_text(result) -> str:
     """A search result, up to its limit and the size budget, as text for people. The limit
     and the budget bound what reaches the driver."""
-    shown = rendered(result.matches)
-    total = result.totals.first()
+    matches, total = once(result)
+    shown = rendered(matches)
     fit = within_budget(shown).select("row", "bytes").collect()
     lines = [r.row for r in fit] or [NONE]
     more = notice(total.displayed, total.total_matches, result.request.line_limit)
@@ -96,8 +111,8 @@ def to_grouped_text(result, cap: int = 250) -> str:
     return f"Found {n} match{'' if n == 1 else 'es'}:\n\n" + "\n\n".join(blocks)
 
 
-def newest_files(files: DataFrame, modified: str = "modified", cap: int = 100) -> DataFrame:
-    """Paths in the order of their times, up to `cap`."""
+def oldest_files(files: DataFrame, modified: str = "modified", cap: int = 100) -> DataFrame:
+    """Paths in the order of their times, the oldest first, up to `cap`."""
     return files.select("path", modified).orderBy(modified, "path").limit(cap)
 
 

@@ -16,7 +16,7 @@ from ..functions import regexes
 from ..functions.arrays import running_starts
 from ..plans import planner
 from ..request import SearchRequest
-from ..sources.corpus import split_lines
+from ..sources.corpus import EARLY, split_lines
 from ..sources.index import Index
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +81,9 @@ def fold(text: Column) -> Column:
 
 
 def compiled(request: SearchRequest) -> Pattern:
+    if not request.literal and not request.ignore_case and not request.multiline and (text := regexes.plain(request.pattern)):
+        # a regex that stands for a string is found as one
+        return Pattern(lambda t: t.contains(text), lambda t: literal_parts(t, text))
     if request.literal and not request.ignore_case:
         return Pattern(lambda t: t.contains(request.pattern), lambda t: literal_parts(t, request.pattern))
     if request.literal and request.pattern.isascii() and not set(request.pattern.lower()) & set("ks"):
@@ -169,7 +172,10 @@ def binary_hits(files: DataFrame, request: SearchRequest) -> DataFrame:
     pattern = compiled(request)
     text = F.col("text")
     seen = planner.visible(files, request).where(text.contains("\x00") & pattern.found(text))
-    return seen.select("file_id", "path", pattern.found(F.substring_index(text, "\x00", 1)).alias("before_nul"))
+    early = F.substring(F.encode(text, "UTF-8"), 1, EARLY).contains(F.lit(b"\0"))
+    before = pattern.found(F.substring_index(text, "\x00", 1))
+    # a match before a NUL that comes late is why a tool that streams would have shown lines
+    return seen.select("file_id", "path", before.alias("before_nul"), F.when(early, "early_binary").when(before, "late_binary").alias("reason"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -209,11 +215,21 @@ class SearchResult:
         return totals(self.found, self.request.line_limit)
 
 
-def search(request: SearchRequest, index: Index | None = None, files: DataFrame | None = None) -> SearchResult:
+class StaleIndex(RuntimeError):
+    pass
+
+
+def search(request: SearchRequest, index: Index | None = None, files: DataFrame | None = None, distrust: str | None = None) -> SearchResult:
     """By the index if one is given and can serve the request, else by a scan of `files`
-    or the index's own."""
+    or the index's own. distrust: why the index may not have all changes; then, or if the index
+    was invalidated, `files` are scanned."""
     plan = planner.plan(request, index)
     if plan.route == "invalid":
         raise regexes.InvalidRegex(plan.reason)
+    reason = distrust or (index.invalid if index is not None else None)
+    if reason and index is not None:
+        if files is None:
+            raise StaleIndex(reason)
+        return SearchResult(planner.Plan("scan", reason), request, matches(files, request))
     source = planner.narrowed(plan, request, index) if index is not None else files
     return SearchResult(plan, request, matches(source, request))

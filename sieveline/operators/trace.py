@@ -3,6 +3,8 @@ redaction."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +86,28 @@ def usage(messages: DataFrame, by: str = "run_id") -> DataFrame:
 
 
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """count, min, max, mean, p50 and p95 (linear interpolation) by group."""
-    p = lambda q: F.percentile(F.col(value), F.lit(q))
-    return rows.groupBy(by).agg(
-        F.count(value).alias("n"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.round(F.avg(value), 6).alias("mean_ms"), F.round(p(0.5), 6).alias("p50_ms"), F.round(p(0.95), 6).alias("p95_ms")
-    )
+    """count, min, max, mean, p50 and p95 (linear interpolation) by group. Equal values are
+    counted before they are sorted, and the sorted counts are summed up as they pass, so that a
+    group needs no memory of its own."""
+    own = rows.select(F.col(by).alias("g"), F.col(value).alias("v"))
+    counts = own.where("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("c"))
+    # the frame doesn't look ahead, so the window streams
+    to = F.sum("c").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    totals = own.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"), F.round(F.avg("v"), 6).alias("mean_ms"))
+    sizes = totals.select(F.col("g").alias("of"), "n")
+    placed = counts.withColumn("to", to).join(sizes, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("to") - F.col("c") <= rank) & (rank < F.col("to")), F.col("v")))
+
+    parts = []
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        rank = (F.col("n") - 1) * q
+        parts += [at(F.floor(rank)).alias(f"{name}_low"), at(F.ceil(rank)).alias(f"{name}_high"), F.max(rank - F.floor(rank)).alias(f"{name}_part")]
+    found = placed.groupBy(F.col("g").alias("of")).agg(*parts)
+    line = lambda p: F.round(F.col(f"{p}_low") + (F.col(f"{p}_high") - F.col(f"{p}_low")) * F.col(f"{p}_part"), 6).alias(f"{p}_ms")
+    joined = totals.join(found, F.col("g").eqNullSafe(F.col("of")), "left")
+    return joined.select(F.col("g").alias(by), "n", "min_ms", "max_ms", "mean_ms", line("p50"), line("p95"))
 
 
 def signature(arguments: Column) -> Column:
@@ -111,7 +130,7 @@ def repository_path(path: Column, root: str) -> Column:
 
 
 TRACE_SCHEMA = (
-    "run_id string, workflow_id string, comparison_id string, attempt int, repo string, repo_sha string, backend_requested string, model string, thinking string, prompt_hash string, started_at timestamp, "
+    "run_id string, workflow_id string, comparison_id string, attempt int, repo string, repo_sha string, backend_requested string, model string, thinking string, prompt_hash string, started_at string, "
     "total_ms double, status string, token_usage struct<input:double,output:double,cache_read:double,cache_write:double,reasoning:double,total_tokens:double,cost_total:double>, "
     "events array<struct<op:string,tool:string,tool_call_id:string,start_ms:double,end_ms:double,duration_ms:double,status:string,actual_backend:string,fallback_reason:string,result_count:bigint,truncated:boolean>>"
 )
@@ -123,10 +142,32 @@ def read_runs(spark, path: str) -> DataFrame:
     bad = (
         F.when(F.col("run_id").isNull() | (F.col("run_id") == ""), "run_id").when(~F.col("attempt").between(1, 2**31 - 1) | F.col("attempt").isNull(), "attempt")
         .when(~F.coalesce(F.col("prompt_hash").rlike("^[a-f0-9]{64}$"), F.lit(False)), "prompt_hash").when(~F.coalesce(F.col("total_ms") >= 0, F.lit(False)), "total_ms")
+        .when(F.col("started_at").isNotNull() & F.try_to_timestamp("started_at").isNull(), "started_at")
         .when(F.exists(F.col("events"), lambda e: F.coalesce(e["end_ms"] < e["start_ms"], F.lit(True))), "events")
     )
-    return runs.withColumn("invalid", bad)
+    return runs.withColumn("invalid", bad).withColumn("started_at", F.try_to_timestamp("started_at"))
 
 
 def trace_events(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.explode("events").alias("e")).select("run_id", "e.*")
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Runs as JSON, all or none: an invalid one stops the writing, and the folder has its name
+    only when all is written."""
+    spark = runs.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}"
+    runs.select(_fields(TRACE_SCHEMA)).withColumn("started_at", F.col("started_at").cast("string")).write.option("ignoreNullFields", "false").json(beside)
+    bad = read_runs(spark, beside).where("invalid IS NOT NULL").select("run_id", "invalid").first()
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(beside)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if bad is not None or not fs.rename(at, jvm.org.apache.hadoop.fs.Path(path)):
+        fs.delete(at, True)
+        raise ValueError(f"run {bad.run_id}: {bad.invalid}" if bad is not None else f"{path} is there already")
+
+
+def _fields(schema: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).names

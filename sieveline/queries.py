@@ -182,11 +182,6 @@ REQUESTS = {
 }
 
 
-def fallback_reasons(spark, sf_dir):
-    plans = {name: planner.plan(r, built(spark, sf_dir)) for name, r in REQUESTS.items()}
-    return spark.createDataFrame([(n, p.route, p.reason, p.gram) for n, p in plans.items()], "request string, route string, reason string, gram string")
-
-
 def route_missing_extra(spark, sf_dir):
     """Index route against full scan: for each request rows missing, extra, and in all."""
     own, out = built(spark, sf_dir), None
@@ -224,9 +219,9 @@ def folder_digests(spark, sf_dir):
     return compare.digest_of(paths, ["folder"], "path")
 
 
-def newest_files(spark, sf_dir):
+def oldest_files(spark, sf_dir):
     """The files with the least time, which here is their length and name."""
-    return present.newest_files(files(spark, sf_dir).withColumn("modified", F.octet_length("text").cast("long")))
+    return present.oldest_files(files(spark, sf_dir).withColumn("modified", F.octet_length("text").cast("long")))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,8 +376,8 @@ QUERIES = {
     "candidate_superset_check": candidate_superset_check, "overlay_merge": overlay_merge, "tombstone_anti_join": tombstone_anti_join, "match_union_dedupe": match_union_dedupe, "route_missing_extra": route_missing_extra,
     "conformance_rollup": conformance_rollup, "set_check": set_check, "line_offsets": line_offsets, "file_stats": file_stats, "universe_digest": universe_digest, "folder_digests": folder_digests, "event_islands": event_islands,
     "event_gap_complement": event_gap_complement, "event_timeline": event_timeline, "tool_pairing": tool_pairing, "latency_percentiles": latency_percentiles, "usage_rollup": usage_rollup, "argument_signatures": argument_signatures,
-    "dirty_set": dirty_set, "dirty_ack": dirty_ack, "dirty_refresh": dirty_refresh, "dirty_stream": dirty_stream, "newest_files": newest_files, "render_lines": render_lines, "render_by_file": render_by_file,
-    "truncate_budget": truncate_budget, "fallback_reasons": fallback_reasons, "benchmark_search": benchmark_search, "pages_search": pages_search,
+    "dirty_set": dirty_set, "dirty_ack": dirty_ack, "dirty_refresh": dirty_refresh, "dirty_stream": dirty_stream, "oldest_files": oldest_files, "render_lines": render_lines, "render_by_file": render_by_file,
+    "truncate_budget": truncate_budget, "benchmark_search": benchmark_search, "pages_search": pages_search,
     "next_page": next_page, "path_lookup": path_lookup, "current_search": current_search,
 }
 
@@ -550,7 +545,7 @@ UNION ALL SELECT path, n_bytes + 1 FROM base WHERE path IN (SELECT path FROM dir
     "universe_digest": f"""WITH {_FILES} SELECT count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes,
   (sum(('0x' || substr(sha256(strlen(path)::VARCHAR || '|' || path || '|' || strlen(text)::VARCHAR || '|' || sha256(text)), 1, 13))::BIGINT) % 1000000000000000000)::BIGINT AS digest FROM files""",
     "folder_digests": f"""WITH {_FILES}, f AS (SELECT lang || '/' || source AS folder, strlen(path)::VARCHAR || ':' || path AS v FROM files JOIN documents ON doc_id = file_id)
-SELECT folder, count(*) AS n, sha256(string_agg(v, '' ORDER BY v)) AS digest FROM f GROUP BY folder""",
+SELECT folder, count(*) AS n, (sum(('0x' || substr(sha256(v), 1, 13))::BIGINT) % 1000000000000000000)::BIGINT AS digest FROM f GROUP BY folder""",
     "event_islands": f"""WITH {_SPANS}, n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM reached)
 SELECT run_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM n GROUP BY run_id, island""",
     "event_gap_complement": f"WITH {_SPANS} SELECT run_id, start_ms, end_ms, end_ms - start_ms AS duration_ms FROM gap",
@@ -573,7 +568,7 @@ SELECT conv_id AS run_id, sum(CASE WHEN role = 'user' THEN n ELSE 0 END) AS inpu
     "dirty_ack": f"WITH {_DIRTY} SELECT path, generation, tombstone FROM dirty WHERE NOT (path < 'src/doc-000350.txt' AND generation <= 9950)",
     "dirty_refresh": f"""WITH {_DIRTY}, every AS (SELECT path, generation, tombstone FROM dirty WHERE generation > 9960 UNION ALL SELECT path, 1000000000, false FROM base WHERE n_bytes < 100)
 SELECT path, max(generation) AS generation, arg_max(tombstone, generation) AS tombstone FROM every GROUP BY path""",
-    "newest_files": f"WITH {_FILES} SELECT path, strlen(text)::BIGINT AS modified FROM files ORDER BY modified, path LIMIT 100",
+    "oldest_files": f"WITH {_FILES} SELECT path, strlen(text)::BIGINT AS modified FROM files ORDER BY modified, path LIMIT 100",
     "benchmark_search": _literal_lines(LITERAL, of="files AS (SELECT item_id AS file_id, 'item/' || item_id::VARCHAR AS path, text FROM benchmark)"),
     "pages_search": _literal_spans("</p>", of="files AS (SELECT page_id AS file_id, 'page/' || page_id::VARCHAR AS path, html AS text FROM pages)"),
     "next_page": f"""WITH {_literal_hits(LITERAL)}, r AS (SELECT path, line_no, row_number() OVER (ORDER BY path, line_no) AS k FROM hits)

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGS = ("n_bytes", "first_nul", "is_binary", "has_bare_cr", "has_kelvin", "has_long_s", "hidden", "ignored")
+from ..functions.arrays import running_starts
+
+EARLY = 64 * 1024  # bytes in which a NUL makes a file binary from the start
+FLAGS = ("n_bytes", "first_nul", "is_binary", "is_early_binary", "has_bare_cr", "has_kelvin", "has_long_s", "hidden", "ignored")
 
 
 def split_lines(text: Column) -> Column:
@@ -27,6 +30,7 @@ def with_flags(files: DataFrame) -> DataFrame:
             "n_bytes": F.octet_length(t).cast("long"),
             "first_nul": F.when(nul > 0, F.octet_length(F.substring(t, F.lit(1), nul - 1)).cast("long")),
             "is_binary": nul > 0,
+            "is_early_binary": F.substring(F.encode(t, "UTF-8"), 1, EARLY).contains(F.lit(b"\0")),
             "has_bare_cr": t.rlike("\r(?!\n)"),
             "has_kelvin": t.contains("\u212a"),
             "has_long_s": t.contains("\u017f"),
@@ -64,31 +68,52 @@ def folder_files(spark: SparkSession, folder: str, glob: str | None = None) -> D
     ).select(F.xxhash64("path").alias("file_id"), "path", decoded(F.col("content")).alias("text"), "modified", "length")
 
 
-def mark_ignored(files: DataFrame, rules: list[str]) -> DataFrame:
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, str]]:
+    """(folder, rule) of every ignore file of files(path, text), outer folders first: an inner
+    one decides after an outer one. Ignore files are few, and small, beside what they are for."""
+    found = files.where(F.regexp_extract("path", "[^/]*$", 0).isin(*names)).select("path", "text").collect()
+    out = []
+    for r in sorted(found, key=lambda r: (r.path.count("/"), r.path.rpartition("/")[0], names.index(r.path.rpartition("/")[2]))):
+        lines = (line.rstrip("\r").rstrip(" ") for line in (r.text or "").split("\n"))
+        out += [(r.path.rpartition("/")[0], line) for line in lines if line and not line.startswith("#")]
+    return out
+
+
+def mark_ignored(files: DataFrame, rules: list) -> DataFrame:
     """Adds `ignored`: the last rule that takes the path or a folder above it decides; a
-    rule that begins with `!` takes back. Rules are few and known to the driver."""
+    rule that begins with `!` takes back, one that ends with a slash is for folders, and one with
+    a slash elsewhere starts where it stands. A rule is a string, or (folder, rule) where it holds
+    below a folder only. Rules are few and known to the driver."""
     from ..functions.globs import to_regex
 
     out = F.lit(False)
-    for rule in rules:
-        back, glob = rule.startswith("!"), rule.lstrip("!").rstrip("/")
-        pattern = to_regex(glob)[:-1] + "(?:/.*)?$"
-        out = F.when(F.col("path").rlike(pattern), F.lit(not back)).otherwise(out)
+    for item in rules:
+        folder, rule = ("", item) if isinstance(item, str) else item
+        back, glob = rule.startswith("!"), rule.removeprefix("!")
+        tail = "/.*$" if glob.endswith("/") else "(?:/.*)?$"
+        glob = glob.rstrip("/")
+        pattern = to_regex(glob)[1:-1]
+        prefix = "^" + "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in folder + "/" if folder)
+        out = F.when(F.col("path").rlike(f"{prefix}(?:{pattern}){tail}"), F.lit(not back)).otherwise(out)
     return files.withColumn("ignored", out)
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """file_id, path, line_no (from 1), line_start (bytes), line. The starts are running
-    sums within a file, so that no row carries the whole text."""
-    each = files.select("file_id", "path", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("file_id", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long")
-    return each.select("file_id", "path", (F.col("at") + 1).cast("long").alias("line_no"), start.alias("line_start"), "line")
+    """file_id, path, line_no (from 1), line_start (bytes), line. The starts are summed up
+    within the file's row, so nothing is shuffled."""
+    ready = files.select("file_id", "path", split_lines(F.col("text")).alias("lines"))
+    starts = running_starts(F.transform("lines", lambda l: (F.octet_length(l) + 1).cast("long")))
+    each = ready.select("file_id", "path", F.posexplode(F.arrays_zip("lines", starts.alias("starts"))).alias("at", "x"))
+    return each.select("file_id", "path", (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.starts").alias("line_start"), F.col("x.lines").alias("line"))
 
 
 def stable(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths whose time or length differ between two listings, or that are in one only."""
     key = ["path", "modified", "length"]
-    return before.select(key).exceptAll(after.select(key)).unionByName(after.select(key).exceptAll(before.select(key))).select("path").distinct()
+    both = before.select(*key, F.lit(1).alias("n")).unionByName(after.select(*key, F.lit(-1).alias("n")))
+    return both.groupBy(*key).agg(F.sum("n").alias("n")).where("n <> 0").select("path").distinct()
+
+
+def escapes(path: Column) -> Column:
+    """Whether a path leads out of its root, or is none: such a file is not read."""
+    return path.isNull() | (path == "") | path.startswith("/") | path.contains("\0") | path.rlike(r"(^|/)\.\.(/|$)")

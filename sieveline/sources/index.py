@@ -83,6 +83,7 @@ class Index:
     generation: int = 0
     n_files: int | None = None
     slots: int = 1
+    invalid: str | None = None  # why it may not be used
     parts: tuple = ((0, -(2**63)),)  # part and least id, by id
     _held: dict = field(default_factory=dict, repr=False)
 
@@ -143,25 +144,25 @@ def slot_of(gram: str, slots: int) -> int:
     return int.from_bytes(gram.encode()[:3], "big") % slots
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its name and renames it there."""
-    fs, new = _fs(spark, path + f".{time.time_ns()}")
+    """Writes a small file beside its name and renames it there. The name is to be new, so that
+    a reader finds a whole file or none."""
+    fs, new = file_system(spark, path + f".{time.time_ns()}")
     out = fs.create(new, True)
     out.write(bytearray(text.encode()))
     out.close()
-    _, at = _fs(spark, path)
-    fs.delete(at, False)
+    _, at = file_system(spark, path)
     fs.rename(new, at)
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:
-    fs, at = _fs(spark, path)
+    fs, at = file_system(spark, path)
     if not fs.exists(at):
         return None
     stream = fs.open(at)
@@ -170,9 +171,9 @@ def get_text(spark: SparkSession, path: str) -> str | None:
     return text
 
 
-def _names(spark: SparkSession, folder: str, pattern: str) -> list[tuple[int, str]]:
+def names(spark: SparkSession, folder: str, pattern: str) -> list[tuple[int, str]]:
     """Numbers and names of what lies in a folder under such a name, rising."""
-    fs, at = _fs(spark, folder)
+    fs, at = file_system(spark, folder)
     if not fs.exists(at):
         return []
     names = (status.getPath().getName() for status in fs.listStatus(at))
@@ -181,17 +182,17 @@ def _names(spark: SparkSession, folder: str, pattern: str) -> list[tuple[int, st
 
 def _claimed(spark: SparkSession, folder: str) -> int:
     """A generation number that no other writer has."""
-    fs, at = _fs(spark, folder)
+    fs, at = file_system(spark, folder)
     fs.mkdirs(at)
-    taken = [n for n, _ in _names(spark, folder, r"(?:gen=|claim-|manifest-)(\d+)(?:\.json)?")]
+    taken = [n for n, _ in names(spark, folder, r"(?:gen=|claim-|manifest-)(\d+)(?:\.json)?")]
     n = max(taken, default=0)
     while True:
         n += 1
         try:
-            fs.create(_fs(spark, f"{folder}/claim-{n}")[1], False).close()
+            fs.create(file_system(spark, f"{folder}/claim-{n}")[1], False).close()
             return n
         except Py4JJavaError as why:
-            if not fs.exists(_fs(spark, f"{folder}/claim-{n}")[1]):
+            if not fs.exists(file_system(spark, f"{folder}/claim-{n}")[1]):
                 raise why
 
 
@@ -203,7 +204,7 @@ def _bytes_of(files: DataFrame) -> int:
 
 def manifest(spark: SparkSession, folder: str) -> dict | None:
     """That of the generation in use."""
-    found = _names(spark, folder, r"manifest-(\d+)\.json")
+    found = names(spark, folder, r"manifest-(\d+)\.json")
     return json.loads(get_text(spark, f"{folder}/{found[-1][1]}")) if found else None
 
 
@@ -246,18 +247,33 @@ def open_index(spark: SparkSession, folder: str, check: bool = False) -> Index:
     files = spark.read.schema(schema).parquet(f"{at}/files")
     lists = spark.read.schema(f"gram string, part int, ids array<{schema['file_id'].dataType.simpleString()}>, slot int").parquet(f"{at}/lists")
     index = Index(files, spark.read.parquet(f"{at}/paths"), lists, spark.read.parquet(f"{at}/grams"), own["generation"], own["n_files"], slots=own["slots"], parts=tuple(map(tuple, own["parts"])) or Index.parts)
+    index.invalid = get_text(spark, f"{folder}/invalid-{index.generation}")
     if check and tuple(digest(index.files).first()) != (own["n_files"], own["n_bytes"], own["digest"]):
         raise ValueError("the index does not have the contents that its manifest names")
     return index
 
 
+def invalidate(spark: SparkSession, folder: str, reason: str) -> bool:
+    """Latches the generation in use: from now on searches by it take the scan and give the
+    reason. It can't be taken back; the next generation starts anew. Whether this call did it."""
+    own = manifest(spark, folder)
+    fs, at = file_system(spark, f"{folder}/invalid-{own['generation']}")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError:
+        return False
+    out.write(bytearray(reason.encode()))
+    out.close()
+    return True
+
+
 def vacuum(spark: SparkSession, folder: str, keep: int = 1) -> list[str]:
     """Deletes generations before the `keep` last ones, with their manifests; says which. What
     lies there without a manifest and is younger than the one in use may be at work and stays."""
     now = manifest(spark, folder)["generation"]
-    fs, _ = _fs(spark, folder)
-    old = [(n, name) for n, name in _names(spark, folder, r"(?:manifest-|claim-|gen=)(\d+)(?:\.json)?") if n <= now - keep]
+    fs, _ = file_system(spark, folder)
+    old = [(n, name) for n, name in names(spark, folder, r"(?:manifest-|claim-|gen=|invalid-)(\d+)(?:\.json)?") if n <= now - keep]
     # a manifest goes before what it names
     for _, name in sorted(old, key=lambda x: (not x[1].startswith("manifest"), x)):
-        fs.delete(_fs(spark, f"{folder}/{name}")[1], True)
+        fs.delete(file_system(spark, f"{folder}/{name}")[1], True)
     return sorted(name for _, name in old if name.startswith("gen="))

@@ -114,6 +114,7 @@ def test_the_entry_needs_no_training_data_operators(tmp_path):
 @pytest.mark.parametrize(("glob", "yes", "no"), [
     ("*.ts", ["a.ts", "x/y/a.ts"], ["a.tsx", "a.ts/b"]), ("src/*.ts", ["src/a.ts"], ["src/x/a.ts", "y/src/a.ts"]), ("src/**/*.ts", ["src/a.ts", "src/x/y/a.ts"], ["srcx/a.ts"]), ("**/t/*.ts", ["t/a.ts", "x/t/a.ts"], ["xt/a.ts"]),
     ("a?c.[xy]", ["abc.x"], ["ac.x", "abc.z", "a/c.x"]), ("*.{js,ts}", ["q.js", "p/q.ts"], ["q.jsx"]), ("src/**", ["src/a", "src/b/c"], ["srcs/a"]), ("[!a]b", ["cb", "x/cb"], ["ab"]),
+    ("{src/a,lib}/*.ts", ["src/a/x.ts", "lib/x.ts"], ["src/x.ts", "src/a/b/x.ts"]), ("*.{ts,{js,tsx}}", ["a.ts", "b/a.js", "a.tsx"], ["a.jsx"]), ("{a,b/c}.x", ["a.x", "q/a.x", "b/c.x"], ["q/b/c.x"]), ("a{b", ["a{b"], ["ab"]), ("[{]x", ["{x"], ["x"]),
 ])
 def test_globs(glob, yes, no):
     import re
@@ -139,3 +140,66 @@ def test_mandatory_grams():
     assert grams("abcd") == {"abc", "bcd"} and grams("abc|abcd") == {"abc"} and grams("(abc)+x") == {"abc"} and grams("(abc)*") == set()
     assert grams("abc.def") == {"abc", "def"} and grams("ab[c]d") == set() and grams("abc", True) == set() and grams("^foo_bar$") == {"foo", "oo_", "o_b", "_ba", "bar"}
     assert pure_literal(r"^import\.meta$") == "import.meta" and pure_literal("a.b") is None
+
+
+def test_a_feed_keeps_batches_apart_until_it_compacts(spark, tmp_path):
+    import os
+
+    table, want = changes.DirtyTable(spark, f"file://{tmp_path}/table"), {}
+    for n in range(changes.COMPACT + 4):
+        events = [(f"p{n % 5}", n, n % 3 == 0), (f"q{n}", n, False)]
+        want |= {p: (g, t) for p, g, t in events}
+        table.mark(spark.createDataFrame(events, changes.EVENT).coalesce(1), batch=n)
+        assert len(table.state()["at"]) <= changes.COMPACT
+    assert {r.path: (r.generation, r.tombstone) for r in table.read().collect()} == want
+    names = [x for x in os.listdir(tmp_path / "table") if x.startswith("v=")]
+    assert len(names) <= changes.COMPACT + 1, "folders that no state names are gone"
+    assert sum(x.startswith("state-") and x.endswith(".json") for x in os.listdir(tmp_path / "table")) <= 2
+
+
+def test_overlays_follow_the_feed_and_distrust_stops_the_index(spark, tmp_path):
+    from sieveline.operators import search
+    from sieveline.request import SearchRequest
+    from sieveline.sources.index import Index
+
+    table = changes.DirtyTable(spark, f"file://{tmp_path}/table")
+    files = spark.createDataFrame([(1, "a", "needle one"), (2, "b", "needle two")], "file_id long, path string, text string")
+    assert table.overlay() == (None, 0) and table.distrust() is None
+    table.mark(spark.createDataFrame([("a", 5, False), ("b", 6, True)], changes.EVENT))
+    table.build_overlay(files)
+    own, generation = table.overlay()
+    assert [r.path for r in own.collect()] == ["a"] and generation == 6
+    request, index = SearchRequest("needle", literal=True, limit=None), Index.in_memory(files)
+    assert search.search(request, index, files, distrust=table.distrust()).plan.route == "index"
+    table.mark(spark.createDataFrame([(".git/HEAD", 7, False)], changes.EVENT))
+    got = search.search(request, index, files, distrust=table.distrust())
+    assert (got.plan.route, got.plan.reason) == ("scan", "snapshot_changed") and got.found.count() == 2
+    with pytest.raises(search.StaleIndex):
+        search.search(request, index, distrust=table.distrust())
+    table.mark(spark.createDataFrame([(None, 8, False)], changes.EVENT))
+    assert table.distrust() == "coverage_untrusted"
+    table.trust()
+    assert table.distrust() is None
+
+
+def test_quiet_feeds_call_once(spark, tmp_path):
+    import time
+
+    for i, part in enumerate((EVENTS[:3], EVENTS[3:])):
+        spark.createDataFrame(part, changes.EVENT).coalesce(1).write.parquet(f"file://{tmp_path}/feed/{i}")
+    events = spark.readStream.schema(changes.EVENT).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/feed/*")
+    table, seen = changes.DirtyTable(spark, f"file://{tmp_path}/table"), []
+    changes.follow(events, table, f"file://{tmp_path}/checkpoint", after=lambda t: seen.append(t.state()["generation"]), quiet_seconds=6.0).awaitTermination()
+    end = time.time() + 30
+    while not seen and time.time() < end:
+        time.sleep(0.2)
+    assert seen == [6]
+
+
+def test_ignore_files_on_the_way_down(spark):
+    from sieveline.sources import corpus
+
+    rows = [(".gitignore", "# all\n*.log\n/build/\n\nsub/x.txt\n"), ("keep/.gitignore", "!*.log\n"), ("a.log", ""), ("keep/a.log", ""), ("keep/deep/a.log", ""), ("build/a", ""), ("q/build/a", ""), ("sub/x.txt", ""), ("q/sub/x.txt", "")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    marked = corpus.mark_ignored(files, corpus.ignore_rules(files))
+    assert {r.path for r in marked.where("ignored").collect()} == {"a.log", "build/a", "sub/x.txt"}
