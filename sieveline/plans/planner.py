@@ -110,7 +110,7 @@ def rarest_candidates(plan_: Plan, request: SearchRequest, index: Index) -> Data
     return ids.distinct() if request.ignore_case else ids
 
 
-def _named(plan_: Plan, request: SearchRequest, index: Index) -> np.ndarray | None:
+def named(plan_: Plan, request: SearchRequest, index: Index) -> np.ndarray | None:
     """Ids of the files that have all required grams, where the rarest one's list may be held:
     further lists only make fewer of them, and those too long to be held are left out."""
     if plan_.gram is None:
@@ -174,7 +174,7 @@ def at_ids(index: Index, ids: np.ndarray) -> DataFrame:
 
 def candidates(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
     """Ids of the files that may match, by content."""
-    ids = _named(plan_, request, index) if plan_.route == "index" else np.zeros(0, np.int64)
+    ids = named(plan_, request, index) if plan_.route == "index" else np.zeros(0, np.int64)
     if ids is None:
         ids = rarest_candidates(plan_, request, index)
         return ids.union(index.parts_of([FOLDED_LETTERS]).select(F.explode("ids"))).distinct() if plan_.blockers else ids
@@ -189,7 +189,7 @@ def narrowed(plan_: Plan, request: SearchRequest, index: Index) -> DataFrame:
     by_path = _by_path(request, index)
     if plan_.route != "index":
         return index.files if by_path is None else at_ids(index, by_path)
-    ids = _named(plan_, request, index)
+    ids = named(plan_, request, index)
     if by_path is not None:
         ids = by_path if ids is None else np.intersect1d(ids, by_path, assume_unique=True)
     if ids is not None:

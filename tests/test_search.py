@@ -297,7 +297,7 @@ def test_a_search_reads_little_else_than_its_candidates(spark, tmp_path):
     assert scoped[0] == 80 and scoped[1] < 4000
     assert read(search.search(request("common", literal=True, glob="f507.txt"), own).found)[1] <= 2 * I.PAGE_ROWS
     few = planner.plan(request("needle_", literal=True), own)
-    assert planner._named(few, request("needle_", literal=True), own).tolist() == [i for i, *_ in rows if i % 500 == 7]
+    assert planner.named(few, request("needle_", literal=True), own).tolist() == [i for i, *_ in rows if i % 500 == 7]
     assert planner.ranges(np.array([1, 2, 3, 9, 10, 40]), 3) == [(1, 3), (9, 10), (40, 40)] and planner.ranges(np.array([5]), 3) == [(5, 5)]
     assert planner.ranges(np.array([-(2**63), 2**63 - 1]), 1) == [(-(2**63), 2**63 - 1)]
     held, planner.HELD_IDS = planner.HELD_IDS, 3
