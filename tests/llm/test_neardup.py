@@ -87,3 +87,38 @@ def test_pruning_bounds():
         assert posterior(m) >= neardup.MISS > posterior(m - 1)
     sigs = np.stack([neardup.signature(np.arange(1, 5, dtype=np.uint64))] * 2)
     assert (neardup.band_keys(sigs)[0] == neardup.band_keys(sigs)[1]).all() and len(set(neardup.band_keys(sigs)[0])) == neardup.BANDS
+
+
+@pytest.mark.parametrize(("rows", "tied"), [(1024, 256), (7, 3)])
+def test_families_that_their_least_member_does_not_hold_together(spark, monkeypatch, rows, tied):
+    """Chains, of which only neighbours are alike; a large family with few outsiders; two
+    families that share a band by their beginnings."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(neardup, "TIED", tied)
+    r = random.Random(8)
+    word = lambda: "w%d" % r.randrange(10**9)
+    texts = []
+    for length in (2, 9, 40):
+        words = [word() for _ in range(200)]
+        for k in range(length):
+            texts.append(" ".join(words))
+            words = words[:]
+            words[(k * 8) % 192 : (k * 8) % 192 + 8] = [word() for _ in range(8)]
+    base = [word() for _ in range(300)]
+    for k in range(60):
+        own = base[:]
+        for i in range(1 + k % 12):
+            own[(k * 7 + i * 23) % 300] = word()
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:260] + [word() for _ in range(12)]), " ".join(base[:200]), " ".join(base[30:])]
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(docs)
+
+
+def test_rows_that_repeat_very_often_are_looked_at_once(spark):
+    text = " ".join("w%d" % i for i in range(80))
+    docs = [(1, text)] * 3000 + [(2, text + " x")] + [(3, "other words " * 9)]
+    got = neardup.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3000), (2, 1, 1), (3, 3, 1)]
