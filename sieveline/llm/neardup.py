@@ -45,7 +45,7 @@ from .components import roots
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 WORDS, PERCENT, MISS = 5, 85, 1e-6
 BAND_MISS = 5e-7
-BLOCK_ROWS, BLOCK_SHINGLES, TIED = 1024, 1_500_000, 256
+BLOCK_ROWS, BLOCK_SHINGLES, TIED, SALTS = 1024, 1_500_000, 256, 32
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -326,7 +326,9 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     root = lambda side, name: label.select(F.col("node").alias(side), F.col("comp").alias(name))
     placed = ties.join(root("u", "cu"), "u", "left").join(root("v", "cv"), "v", "left")
     apart = placed.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("key").distinct()
-    rest = roots(ties.join(apart, "key", "left_semi").select("u", "v").distinct())
+    # a family's bucket is one key, which is dealt out over SALTS
+    salted = ties.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+    rest = roots(salted.join(apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left_semi").select("u", "v").distinct())
     within = rest.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(rest.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
     within = within.join(classes.drop("hash"), "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     counts = within.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
