@@ -6,7 +6,10 @@ by their counts S. For each of 64 samples a term draws r and c from Gamma(2, 1)
 (term, t) with the least ln c - r * (t - b + 1). Two texts agree in a sample with the
 probability of their generalised Jaccard similarity, sum of least over sum of greatest
 weights. 16 bits of the pair's hash are kept of each sample, 64 samples as 256 hex digits.
-The draws come from tables of 65,536 quantiles.
+The draws come from tables of 65,536 quantiles; terms that tie in a draw go by the hash of
+their pairs. That is as fair among terms of equal weight; of a text with far more than 65,536
+different terms many share the least draw, and there a greater weight counts for less than it
+should.
 
 What a document is compared with, the next one by ascending id, is found by range: ids
 are cut into buckets at sampled quantiles, buckets are sorted, and the first document of
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, buffers, hash_spans, lean, splitmix, words
 
 SAMPLES, WORDS = 64, 5
+BUCKETS, BUCKET_BYTES = 20_000, 64 << 20  # more buckets than there are partitions only for large inputs, and no more than these
 _RNG = np.random.default_rng(31337)
 _XOR = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,7 +188,8 @@ def _bucket(of, bounds: list[int]):
 def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, size // BUCKET_BYTES))
     found = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
     bounds = sorted({int(x) for x in found})
     placed = docs.withColumn("own", _bucket(F.coalesce("doc_id", F.lit(-(2**63))), bounds)).withColumn("tie", F.xxhash64("text"))

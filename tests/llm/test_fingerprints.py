@@ -86,3 +86,36 @@ def test_edges(spark):
     assert P.report(one.limit(0)).count() == 0
     twice = spark.createDataFrame([(None, None, 1, 1), (None, "q", 1, 1), (3, "a b", 1, 1), (3, "a b", 1, 1), (3, "c", 1, 1)], SCHEMA)
     assert sorted(str(x.doc_id) for x in P.report(twice).collect()) == ["3", "3", "3", "None", "None"]
+
+
+def plain_print(text):
+    """The definition, term by term and sample by sample, in Python's numbers; draws and hashes
+    of a term are those of the text that is that term alone."""
+    words, out = text.lower().split(), []
+    shingles = Counter(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter([" ".join(words)] if words else [])
+    for k in range(P.SAMPLES):
+        best = None
+        for s, weight in shingles.items():
+            term = int(P.terms(pa.array([s]))[1][0])
+            x = ((term ^ int(P._XOR[k])) * int(P._MUL[k])) % 2**64
+            x ^= x >> 29
+            at, c = (x >> 32) & 65535, x >> 48
+            r, b = float(P._R[at]), float(P._B[at])
+            t = int(np.floor(np.log(weight) / r + b))
+            value = float(P._LOG_C[c]) - r * (t - b + 1)
+            pair = (x * 0x9E3779B97F4A7C15) % 2**64
+            if t:
+                pair = int(P.splitmix(np.array([(pair + t) % 2**64], np.uint64))[0])
+            if best is None or value < best[0]:
+                best = (value, pair)
+        out.append(best[1] >> 32 & 65535 if best else 0)
+    return out
+
+
+def test_prints_equal_the_definition():
+    r = random.Random(11)
+    texts = ["", "one", "one two three", " ".join(["a b"] * 40)] + [" ".join(r.choice("ab cd ef gh ij".split()) for _ in range(n)) for n in (5, 30, 90)]
+    texts += [" ".join("w%d" % r.randrange(60) for _ in range(120))]
+    for text, got in zip(texts, P.fingerprints(pa.array(texts)), strict=True):
+        same = sum(a == b for a, b in zip(plain_print(text), got.tolist(), strict=True))
+        assert same >= P.SAMPLES - 1, "values that are equal but for rounding may go either way"

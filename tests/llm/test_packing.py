@@ -93,3 +93,44 @@ def test_edges(spark, path):
     got = packing.packed(rows.coalesce(1), path).collect()
     assert len(got) == 3 and all((r.start, r.length, r.doc_tokens, r.ids_crc32) == (0, 1, 1, zlib.crc32(bytes(4))) for r in got)
     assert packing.packed(rows.limit(0), path).count() == 0
+
+
+def plain_pack(lengths, length, quadratic):
+    """The same by a search through all sequences for each piece."""
+    total = sum(lengths)
+    rooms = [length] * (total // length)
+    rest, size = total % length, length
+    while size:
+        if rest & size:
+            rooms.append(size)
+        size //= 2
+    left, cost, out = list(rooms), [0.0] * len(rooms), []
+
+    def put(i, start, n, s):
+        out.append((i, start, n, s, rooms[s] - left[s]))
+        left[s] -= n
+        cost[s] += n + quadratic * n * n
+
+    late = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [s for s in range(len(rooms)) if left[s] >= lengths[i]]
+        if fits:
+            put(i, 0, lengths[i], min(fits, key=lambda s: (cost[s], s)))
+        else:
+            late.append(i)
+    for i in late:
+        start = 0
+        while start < lengths[i]:
+            s = min((s for s in range(len(rooms)) if left[s]), key=lambda s: (cost[s], s))
+            n = min(lengths[i] - start, left[s])
+            put(i, start, n, s)
+            start += n
+    return out, len(rooms)
+
+
+@pytest.mark.parametrize(("seed", "n", "most", "length"), [(1, 300, 1023, 1024), (2, 50, 63, 64), (3, 400, 20, 64), (4, 1, 5, 8), (5, 0, 5, 8), (6, 200, 64, 64)])
+def test_packing_equals_a_plain_search(seed, n, most, length):
+    lengths = np.random.default_rng(seed).integers(1, most + 1, n)
+    got, count = packing.pack(lengths, length)
+    want, rooms = plain_pack(lengths.tolist(), length, packing.QUADRATIC)
+    assert [tuple(map(int, x)) for x in got] == want and count == rooms

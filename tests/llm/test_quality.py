@@ -84,3 +84,60 @@ def test_features_are_of_whole_texts():
     a, b = "w " * 3_000_000, "w " * 3_000_000 + "last"
     sets = [found[s:e] for bound, found in quality.features(pa.array([a, b])) for s, e in zip(bound[:-1], bound[1:], strict=True)]
     assert len(sets[1]) > len(sets[0])
+
+
+def test_the_model_equals_a_plain_one():
+    """Log-count ratios, dual coordinate descent, margins and the curve, with loops and
+    dictionaries, on the same indicators and in the same order of rows."""
+    import math
+    import random
+
+    r = random.Random(21)
+    good, bad = ["w%d" % i for i in range(30)], ["w%d" % i for i in range(20, 50)]
+    texts = [" ".join(r.choice(good if i % 3 else bad) for _ in range(r.randrange(1, 25))) for i in range(90)]
+    labels = np.array([1 if i % 3 else -1 for i in range(90)])
+    rows = [f[a:b] for bound, f in quality.features(pa.array(texts)) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+    def fit(rows, labels):
+        counts = {y: {} for y in (1, -1)}
+        for row, y in zip(rows, labels, strict=True):
+            for f in row.tolist():
+                counts[y][f] = counts[y].get(f, 0) + 1
+        size = {y: quality.SMOOTH * 2**quality.BITS + sum(c.values()) for y, c in counts.items()}
+        ratio = lambda f: math.log((counts[1].get(f, 0) + quality.SMOOTH) / size[1]) - math.log((counts[-1].get(f, 0) + quality.SMOOTH) / size[-1])
+        xs = []
+        for row in rows:
+            x = {f: ratio(f) for f in row.tolist()}
+            norm = max(math.sqrt(sum(v * v for v in x.values())), 1e-12)
+            xs.append({f: v / norm for f, v in x.items()})
+        share = {y: quality.COST * 0.5 / max(sum(z == y for z in labels), 1) * len(labels) for y in (1, -1)}
+        w, alpha, order = {}, [0.0] * len(rows), np.random.default_rng(1)
+        for _ in range(quality.EPOCHS):
+            moved = 0.0
+            for i in order.permutation(len(rows)).tolist():
+                y = int(labels[i])
+                if not xs[i]:
+                    continue
+                slope = y * sum(w.get(f, 0.0) * v for f, v in xs[i].items()) - 1
+                new = min(max(alpha[i] - slope, 0.0), share[y])
+                for f, v in xs[i].items():
+                    w[f] = w.get(f, 0.0) + (new - alpha[i]) * y * v
+                moved, alpha[i] = max(moved, abs(new - alpha[i])), new
+            if moved < 1e-3:
+                break
+        return w, ratio
+
+    def margin(row, w, ratio):
+        x = [(f, ratio(f)) for f in row.tolist()]
+        return sum(w.get(f, 0.0) * v for f, v in x) / max(math.sqrt(sum(v * v for _, v in x)), 1e-12) if x else 0.0
+
+    model, (w, ratio) = quality.Model(rows, labels), fit(rows, labels)
+    held = [0.0] * 90
+    for fold in (0, 1):
+        own = fit([x for i, x in enumerate(rows) if i % 2 != fold], [y for i, y in enumerate(labels) if i % 2 != fold])
+        for i in range(fold, 90, 2):
+            held[i] = margin(rows[i], *own)
+    slope, shift = quality._curve(np.array(held), labels)
+    scores = model.score(pa.array(texts))
+    for row, score in zip(rows, scores, strict=True):
+        assert abs(score - 1 / (1 + math.exp(-(slope * margin(row, w, ratio) + shift)))) < 1e-3
