@@ -17,8 +17,8 @@ largest cost and 10 more, and become their bytes. Equal costs come in a fixed or
 
 Cases: a null or empty text has one segmentation, of no pieces; a text with fewer than N
 segmentations gives all of them; rows are encoded one by one, so repeated rows, ties and
-null ids change nothing; an empty table gives no rows; texts are taken whole; other columns
-are left out. Decoding gives the text back, but for U+2581, which is a space to the model;
+null ids change nothing; an empty table gives no rows; texts are taken whole, and one without
+any cut needs memory of its own, about 0.1 KB a character; other columns are left out. Decoding gives the text back, but for U+2581, which is a space to the model;
 unknown ids are marked by U+2047, null ids are passed over, and a null list decodes to an
 empty text.
 """
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from bisect import insort
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, hash_spans, lean, pieces
 
-N_BEST, UNIT, PENALTY = 5, 1 << 20, 10
+N_BEST, UNIT, PENALTY, ARCS = 5, 1 << 20, 10, 4096
 SPACE = "▁"
 #: Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -99,6 +100,7 @@ class PieceModel:
             cost = {i: round(float(np.log(r)) * UNIT) for i, r in rank.items()}
         self.piece = {spelled[i]: (i, cost[i]) for i in plain}
         self.table = {p[:k]: () for p in self.piece for k in range(1, len(p))} | self.piece  # () for what only begins pieces
+        self.tails = {p[k:]: () for p in self.piece for k in range(1, len(p))} | self.piece  # and only ends them
         self.longest = max(map(len, self.piece), default=1)
         self.dear = max(cost.values(), default=0) + PENALTY * UNIT
         joined = {(ord(a) << 21) | ord(b) for p in self.piece for a, b in zip(p, p[1:])}  # noqa: B905
@@ -122,29 +124,43 @@ class PieceModel:
         """Cost and pieces (ids; of characters without one, their negated code points less
         1) of up to n segmentations of text, in order."""
         n = len(text)
-        far_off = self.dear * (n + 1)
-        best = [0] + [far_off] * n
-        arcs: list[list] = [[] for _ in range(n + 1)]  # by end: cost through the arc, its cost, piece, start
-        get, longest = self.table.get, self.longest
+        get, tail, longest, dear = self.table.get, self.tails.get, self.longest, self.dear
+        # 8 bytes a character: the arcs that end at a place are found again when it is reached
+        best = array("q", [dear * (n + 1)]) * (n + 1)
+        best[0] = 0
         for i in range(n):
             here = best[i]
             for j in range(i + 1, min(n, i + longest) + 1):
                 hit = get(text[i:j])
+                if hit is None:
+                    break
+                if hit and here + hit[1] < best[j]:
+                    best[j] = here + hit[1]
+            if here + dear < best[i + 1] and not get(text[i]):
+                best[i + 1] = here + dear
+
+        seen: dict[int, list[tuple[int, int, int, int]]] = {}
+
+        def arcs(end: int) -> list[tuple[int, int, int, int]]:
+            """Cost through the arc, its cost, piece and start, in order."""
+            if end in seen:
+                return seen[end]
+            found = []
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                hit = tail(text[start:end])
                 if hit is None:
                     break
                 if hit:
-                    cost = here + hit[1]
-                    arcs[j].append((cost, hit[1], hit[0], i))
-                    if cost < best[j]:
-                        best[j] = cost
-            if not get(text[i]):
-                cost = here + self.dear
-                arcs[i + 1].append((cost, self.dear, -1 - ord(text[i]), i))
-                if cost < best[i + 1]:
-                    best[i + 1] = cost
-        for at in arcs:
-            if len(at) > 1:
-                at.sort()
+                    found.append((best[start] + hit[1], hit[1], hit[0], start))
+            if not get(text[end - 1]):
+                found.append((best[end - 1] + dear, dear, -1 - ord(text[end - 1]), end - 1))
+            if len(found) > 1:
+                found.sort()
+            if len(seen) >= ARCS:
+                seen.clear()
+            seen[end] = found
+            return found
+
         out: list = []
         tick, most = 0, self.n
         agenda: list = [(best[n], n, 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
@@ -159,7 +175,7 @@ class PieceModel:
                 most -= 1
                 del agenda[most:]
                 continue
-            for through, cost, piece, start in arcs[end]:
+            for through, cost, piece, start in arcs(end):
                 hope = far + through
                 if len(agenda) >= most:
                     if hope >= agenda[-1][0]:
