@@ -47,7 +47,7 @@ WIDTH, GRAM = 200, 50
 SPAN = WIDTH - GRAM + 1
 PART = (1 << 20) - WIDTH  # windows looked at at once
 HOT = 60_000
-BUCKET = 40_000
+BUCKET = 20_000
 CHUNK = 2_000  # anchors whose windows are digested at once
 SAMPLE, COMMON = 1500, 15  # texts looked at first; in fewer of them no gram is known to be common
 _BITS = np.uint64(21)
@@ -123,11 +123,19 @@ def _alike(data: np.ndarray, offsets: np.ndarray, found, one: np.ndarray, other:
     row, at, most, least = found
     out = np.zeros(len(one), bool)
     begin, size = at + offsets[row] - most, most - least + WIDTH
-    wide = np.concatenate([data, np.zeros(SPAN + WIDTH, np.uint8)])
-    for i in range(0, len(one), 16384):
-        a, b = one[i : i + 16384], other[i : i + 16384]
-        same = wide[begin[a][:, None] + np.arange(SPAN + WIDTH)] == wide[begin[b][:, None] + np.arange(SPAN + WIDTH)]
-        out[i : i + 16384] = (same | (np.arange(SPAN + WIDTH) >= size[a][:, None])).all(axis=1)
+    for i in range(0, len(one), 2048):
+        a, b = one[i : i + 2048], other[i : i + 2048]
+        same = _gathered(data, begin[a], SPAN + WIDTH) == _gathered(data, begin[b], SPAN + WIDTH)
+        out[i : i + 2048] = (same | (np.arange(SPAN + WIDTH) >= size[a][:, None])).all(axis=1)
+    return out
+
+
+def _gathered(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """width bytes from each place on, in rows; beyond the end the last byte again. The places
+    of all bytes, eight times as large, are never there at once."""
+    out = np.empty((len(at), width), np.uint8)
+    for i in range(0, len(at), 2048):
+        np.take(data, at[i : i + 2048, None] + np.arange(width), mode="clip", out=out[i : i + 2048])
     return out
 
 
@@ -181,8 +189,11 @@ def _sampled(batches):
 
 def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The leading tokens of suffixes, which sort as bytes do."""
-    wide = np.concatenate([data, np.zeros(LEAD, np.uint8)])
-    return np.ascontiguousarray(wide[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel() if len(at) else np.zeros(0, f"S{LEAD}")
+    if not len(at):
+        return np.zeros(0, f"S{LEAD}")
+    out = _gathered(data, at, LEAD)
+    out[at[:, None] + np.arange(LEAD) >= len(data)] = 0
+    return out.view(f"S{LEAD}").ravel()
 
 
 def _merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,11 +341,11 @@ def repeated(around: list[bytes], most: np.ndarray, least: np.ndarray) -> tuple[
     begin = np.cumsum(lens) - lens
     head = np.concatenate([np.zeros(SPAN, np.uint8), data, np.zeros(WIDTH + 8, np.uint8)])
     here = begin + most + SPAN
-    right = head[here[:, None] + np.arange(WIDTH)]
+    right = _gathered(head, here, WIDTH)
     right[np.arange(WIDTH) >= (lens - most)[:, None]] = 0
     depth = 8 * (-(-(SPAN - 1) // 8))
     left = np.zeros((n, depth), np.uint8)
-    left[:, : SPAN - 1] = head[here[:, None] - 1 - np.arange(SPAN - 1)]
+    left[:, : SPAN - 1] = _gathered(head, here - (SPAN - 1), SPAN - 1)[:, ::-1]
     left[np.arange(depth) >= most[:, None]] = 0
     by = multikey_sort(np.ascontiguousarray(right).view(">u8").astype(np.uint64), np.zeros(n, np.int64))
     after = _common(right[by])
