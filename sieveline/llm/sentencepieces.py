@@ -120,12 +120,39 @@ class PieceModel:
         self.cost, self.size, self.at = (np.zeros((1 << 15, self.n), t) for t in (np.int64, np.int32, np.int64))
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def segmentations(self, text: str) -> list[tuple[int, list[int]]]:
-        """Cost and pieces (ids; of characters without one, their negated code points less
-        1) of up to n segmentations of text, in order."""
+    def _lattice(self, text: str):
+        """The arcs that end at a place, in order: cost through the arc, its cost, piece and
+        start; and the cost of the best path."""
+        n = len(text)
+        get, longest, dear = self.table.get, self.longest, self.dear
+        best = [0] + [dear * (n + 1)] * n
+        arcs: list[list] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            here = best[i]
+            for j in range(i + 1, min(n, i + longest) + 1):
+                hit = get(text[i:j])
+                if hit is None:
+                    break
+                if hit:
+                    cost = here + hit[1]
+                    arcs[j].append((cost, hit[1], hit[0], i))
+                    if cost < best[j]:
+                        best[j] = cost
+            if not get(text[i]):
+                cost = here + dear
+                arcs[i + 1].append((cost, dear, -1 - ord(text[i]), i))
+                if cost < best[i + 1]:
+                    best[i + 1] = cost
+        for at in arcs:
+            if len(at) > 1:
+                at.sort()
+        return arcs.__getitem__, best[n]
+
+    def _long_lattice(self, text: str):
+        """The same for a long text, whose arcs would take half a kilobyte a character: 8 bytes
+        of costs are kept, and the arcs that end at a place are found again from its end."""
         n = len(text)
         get, tail, longest, dear = self.table.get, self.tails.get, self.longest, self.dear
-        # 8 bytes a character: the arcs that end at a place are found again when it is reached
         best = array("q", [dear * (n + 1)]) * (n + 1)
         best[0] = 0
         for i in range(n):
@@ -139,12 +166,7 @@ class PieceModel:
             if here + dear < best[i + 1] and not get(text[i]):
                 best[i + 1] = here + dear
 
-        seen: dict[int, list[tuple[int, int, int, int]]] = {}
-
         def arcs(end: int) -> list[tuple[int, int, int, int]]:
-            """Cost through the arc, its cost, piece and start, in order."""
-            if end in seen:
-                return seen[end]
             found = []
             for start in range(end - 1, max(0, end - longest) - 1, -1):
                 hit = tail(text[start:end])
@@ -154,16 +176,18 @@ class PieceModel:
                     found.append((best[start] + hit[1], hit[1], hit[0], start))
             if not get(text[end - 1]):
                 found.append((best[end - 1] + dear, dear, -1 - ord(text[end - 1]), end - 1))
-            if len(found) > 1:
-                found.sort()
-            if len(seen) >= ARCS:
-                seen.clear()
-            seen[end] = found
+            found.sort()
             return found
 
+        return arcs, best[n]
+
+    def segmentations(self, text: str) -> list[tuple[int, list[int]]]:
+        """Cost and pieces (ids; of characters without one, their negated code points less
+        1) of up to n segmentations of text, in order."""
+        arcs, last = self._lattice(text) if len(text) <= ARCS else self._long_lattice(text)
         out: list = []
         tick, most = 0, self.n
-        agenda: list = [(best[n], n, 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
+        agenda: list = [(last, len(text), 0, 0, None)]  # estimate, place, tie, cost so far, pieces after it
         while agenda and most:
             estimate, end, _, far, link = agenda.pop(0)
             if not end:

@@ -120,3 +120,13 @@ def test_frames(spark, path):
     assert back == {t.replace("▁", " ") for t in TEXTS}
     assert S.report(docs.limit(0), path).count() == 0 and S.encoded(docs.limit(0), path).count() == 0
     assert S.decoded(spark.createDataFrame([(1, None), (2, [None, 13])], "doc_id long, ids array<int>"), path).where("text = ''").count() == 1
+
+
+def test_long_lattices_have_the_same_segmentations(monkeypatch):
+    model = S.PieceModel(queries.tokenizer("piece_bpe_32k.model"))
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefgh \u2581é雪ß") for _ in range(n)) for n in (1, 2, 9, 60, 700, S.ARCS, S.ARCS + 1)]
+    got = [model.segmentations(t) for t in texts]
+    for arcs in (0, 10**9):
+        monkeypatch.setattr(S, "ARCS", arcs)
+        assert [model.segmentations(t) for t in texts] == got
