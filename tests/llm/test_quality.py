@@ -141,3 +141,21 @@ def test_the_model_equals_a_plain_one():
     scores = model.score(pa.array(texts))
     for row, score in zip(rows, scores, strict=True):
         assert abs(score - 1 / (1 + math.exp(-(slope * margin(row, w, ratio) + shift)))) < 1e-3
+
+
+def test_the_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver, whose memory doesn't grow with rows and texts, fits nothing and gets the model alone."""
+    docs, labels, _ = made()
+    docs = [(i, t + " ") for i, t in docs]
+    texts = dict(docs)
+    own = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [f[a:b] for bound, f in quality.features(pa.array([texts[i] for i, _ in own])) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+    want = quality.Model(rows, np.array([1 if y else -1 for _, y in own]))
+
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(quality, "_fit", here)
+    got = quality.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert np.allclose(got.gain, want.gain, rtol=1e-5, atol=1e-6) and np.allclose(got.square, want.square, rtol=1e-5)
+    assert got.slope == pytest.approx(want.slope) and got.shift == pytest.approx(want.shift)
