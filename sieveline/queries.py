@@ -24,6 +24,8 @@ LITERAL, RARE, FOLDED, ABSENT = "tion", "tionsh", "THATON", "absent_Token_xyz"
 REGEX, SENTENCE = r"[A-Z][a-z]+tion", r"[a-z]\.\n[A-Z]"
 SCOPE, NAME_GLOB, DEEP_GLOB = "en/src7", "doc-0000*.txt", "*/src1*/**/doc-*5.txt"
 WIDTH, LIMIT = 2, 25
+#: The least rows of a file of a change feed, and the most batches that a feed is taken in.
+BATCH_ROWS, BATCHES = 4000, 8
 LITERALS = (LITERAL, RARE, "heon", "the", "of", "::", "Inha")
 _BUILT: dict[tuple, index.Index] = {}
 
@@ -265,10 +267,13 @@ def tombstone_anti_join(spark, sf_dir):
 
 
 def dirty_stream(spark, sf_dir):
-    """The dirty set as a stream leaves it, in several batches."""
-    at = scratch(spark, "changes")
-    feed(spark, sf_dir).write.option("maxRecordsPerFile", 4000).parquet(f"{at}/feed")
-    events = spark.readStream.schema(changes.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{at}/feed")
+    """The dirty set as a stream leaves it, in several batches. A batch costs a second or so
+    whatever it holds, so batches grow with the feed, in files for every core, and not their number."""
+    at, own = scratch(spark, "changes"), feed(spark, sf_dir)
+    rows = max(BATCH_ROWS, -(-own.count() // (BATCHES * spark.sparkContext.defaultParallelism)))
+    own.write.option("maxRecordsPerFile", rows).parquet(f"{at}/feed")
+    n = len(index.names(spark, f"{at}/feed", r"part-(\d+).*\.parquet"))
+    events = spark.readStream.schema(changes.EVENT).option("maxFilesPerTrigger", max(1, -(-n // BATCHES))).parquet(f"{at}/feed")
     table = changes.DirtyTable(spark, f"{at}/table")
     changes.follow(events, table, f"{at}/checkpoint").awaitTermination()
     return table.read()
