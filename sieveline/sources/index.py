@@ -3,8 +3,9 @@
 A generation is a folder of Parquet tables. Files are dealt out to parts by
 ranges of their ids and lie there in the order of ids, in small pages, so that a search that names its files reads
 little else: parts by their folders, pages by their least and greatest ids. `paths` has the same
-without texts. A posting list is the ids of one gram in one part, rising, which Parquet keeps as
-differences; lists are sorted by gram, so that a lookup of a few grams reads a few pages.
+without texts. A posting list is the ids of one gram in one part, or in a stretch of a part that has
+very many, rising, which Parquet keeps as differences; lists are sorted by gram, so that a lookup of
+a few grams reads a few pages.
 
 A generation's number is claimed by a file that only one writer can create, and its manifest,
 named by the number, appears in one step when all is written. The one in use is the greatest
@@ -13,6 +14,7 @@ that has a manifest, so a reader always finds a whole one, and writers can't mee
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import time
@@ -20,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +60,118 @@ MOST_PARTS = 50_000
 HELD_IDS = 1_000_000
 
 
+#: Bytes of text looked at at once, and postings that a task holds before it gives their lists.
+STEP_BYTES, HELD_POSTINGS = 4 << 20, 4 << 20
+SIGNS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+N_GRAMS = len(SIGNS) ** 3
+
+
 def posting_lists(files: DataFrame) -> DataFrame:
-    """gram, part, ids of files(file_id, part, text). Lists are begun before the shuffle."""
-    odd = F.when(F.col("text").rlike(f"[{FOLDED_LETTERS}]"), F.array(F.lit(FOLDED_LETTERS))).otherwise(F.array().cast("array<string>"))
-    grams = F.concat(F.array_distinct(F.regexp_extract_all("text", F.lit(GRAM), F.lit(1))), odd)
-    each = files.select("file_id", "part", F.explode(grams).alias("gram"))
-    return each.groupBy("gram", "part").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
+    """gram, part, ids of files(file_id, part, text): rising ids of those that have the gram. Files
+    of a part that lie together give one list a gram, unless they have over HELD_POSTINGS. A task
+    makes its lists itself, so that no row is made, sorted or shuffled for a single posting."""
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "part", "text").mapInArrow(_listed, f"gram string, part {files.schema['part'].dataType.simpleString()}, ids array<{kind}>")
+
+
+def _listed(batches):
+    held, part, n = [], None, 0
+    for batch in batches:
+        ids, parts, texts = (batch.column(c) for c in ("file_id", "part", "text"))
+        texts = texts.fill_null("").cast(pa.large_string())
+        for start, stop in _strides(parts, _offsets(texts)):
+            if held and parts[start] != part:
+                yield _lists_of(held, part)
+                held, n = [], 0
+            part, own = parts[start], ids[start:stop]
+            for rows, grams in _grams_of(texts[start:stop]):
+                held.append((own, rows, grams))
+                n += len(rows)
+            # between files only, so that none is in two lists of a gram
+            if n > HELD_POSTINGS:
+                yield _lists_of(held, part)
+                held, n = [], 0
+    if held:
+        yield _lists_of(held, part)
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+
+
+def _strides(parts: pa.Array, at: np.ndarray):
+    """Stretches of rows that are of one part and of STEP_BYTES, or of one row."""
+    start, n = 0, len(parts)
+    ends = np.append(np.flatnonzero(np.asarray(pc.not_equal(parts[1:], parts[:-1]), bool)) + 1, n)
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + STEP_BYTES, "right")) - 1)
+        stop = min(stop, int(ends[np.searchsorted(ends, start, "right")]))
+        yield start, stop
+        start = stop
+
+
+def _grams_of(texts: pa.Array):
+    """Rows and gram numbers of texts, each pair once in a step. Bytes beyond ASCII are no word
+    characters, so a text's bytes have the same grams as its characters. N_GRAMS marks a text with
+    one of FOLDED_LETTERS."""
+    at = _offsets(texts)
+    if at[-1] - at[0] < 2:
+        return
+    odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, f"[{FOLDED_LETTERS}]"), bool))
+    if len(odd):
+        yield odd, np.full(len(odd), N_GRAMS, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    for begin in range(int(at[0]), int(at[-1]) - 2, STEP_BYTES):
+        end = min(begin + STEP_BYTES, int(at[-1]) - 2)
+        sign = _SIGN_AT[data[begin : end + 2]]
+        first, last = np.searchsorted(at, [begin, end - 1], "right") - 1
+        ends = at[first + 1 : last + 2]
+        word = sign < len(SIGNS)
+        whole = word[:-2] & word[1:-1] & word[2:]
+        for back in (1, 2):  # what reaches into the next text is no gram
+            cut = ends - back - begin
+            whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+        where = np.flatnonzero(whole)
+        sign = sign.astype(np.uint32)
+        gram = ((sign[:-2] * len(SIGNS) + sign[1:-1]) * len(SIGNS) + sign[2:])[where]
+        row = np.searchsorted(ends, where + begin, "right")
+        kind = np.uint32 if last - first < 1 << 14 else np.uint64
+        key = _distinct(row.astype(kind) << kind(18) | gram)
+        yield (key >> kind(18)).astype(np.int64) + first, (key & kind((1 << 18) - 1)).astype(np.int64)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+_SIGN_AT = np.full(256, len(SIGNS), np.uint8)
+_SIGN_AT[list(SIGNS)] = np.arange(len(SIGNS))
+
+
+def _lists_of(held: list, part: pa.Scalar) -> pa.RecordBatch:
+    """The lists of what a task holds of one part."""
+    before = np.cumsum([0] + [0 if i and own is held[i - 1][0] else len(own) for i, (own, _, _) in enumerate(held)])
+    ids = pa.concat_arrays([own for i, (own, _, _) in enumerate(held) if not i or own is not held[i - 1][0]])
+    rising = pc.sort_indices(ids)
+    rank = np.zeros(len(ids), np.int64)
+    rank[np.asarray(rising)] = np.arange(len(ids))
+    # several steps of one text may have the same gram
+    key = _distinct(np.concatenate([gram << 32 | rank[rows + (end - len(own))] for (own, rows, gram), end in zip(held, before[1:], strict=True)]))
+    gram, of = key >> 32, ids.take(rising).take(pa.array(key & (1 << 32) - 1))
+    if of.null_count:
+        known = np.asarray(of.is_valid(), bool)
+        gram, of = gram[known], of.filter(pa.array(known))
+    begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(gram)), pa.int32()), of)
+    names = pa.array([_name(g) for g in gram[begin].tolist()], pa.string())
+    return pa.RecordBatch.from_arrays([names, pa.array([part.as_py()] * len(names), part.type), lists], ["gram", "part", "ids"])
+
+
+def _name(gram: int) -> str:
+    if gram == N_GRAMS:
+        return FOLDED_LETTERS
+    return bytes((SIGNS[gram // len(SIGNS) ** 2], SIGNS[gram // len(SIGNS) % len(SIGNS)], SIGNS[gram % len(SIGNS)])).decode()
 
 
 def list_frequencies(lists: DataFrame) -> DataFrame:

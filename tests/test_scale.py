@@ -1,8 +1,13 @@
 """What a query does to larger tables: steps whose number or size must not grow with them."""
 
+import re
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline import queries
+from sieveline.sources import index
 from sieveline.streaming import changes
 
 
@@ -14,3 +19,38 @@ def test_a_larger_feed_is_taken_in_no_more_batches(spark, tmp_path, monkeypatch)
     rows = {tuple(r) for r in queries.dirty_stream(spark, str(tmp_path)).collect()}
     assert rows == {tuple(r) for r in queries.dirty_set(spark, str(tmp_path)).collect()} and len(rows) == 90
     assert 1 < tables[0].state()["batch"] + 1 <= queries.BATCHES
+
+
+TEXTS = ["", "ab", "abc abcd", None, "K abc\u212a", "x\u017fyz", "abab" * 9, "\u00e9abc\U0001f600_9Z", "no\nabc", "a"]
+
+
+def _plain(rows) -> dict:
+    out = {}
+    for i, part, text in rows:
+        grams = set(re.findall("(?=([A-Za-z0-9_]{3}))", text or "")) | ({index.FOLDED_LETTERS} if re.search(f"[{index.FOLDED_LETTERS}]", text or "") else set())
+        for g in grams:
+            out.setdefault((g, part), []).append(i)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_posting_lists_make_no_row_for_a_posting(spark):
+    rows = [(i * 7 % 31, 0, t) for i, t in enumerate(TEXTS * 3)]
+    lists = index.posting_lists(spark.createDataFrame(rows, "file_id long, part int, text string").coalesce(1))
+    assert {(r.gram, r.part): r.ids for r in lists.collect()} == _plain(rows)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Generate", "Aggregate", "Sort"))
+
+
+@pytest.mark.parametrize("step", [3, 5, 4 << 20])
+@pytest.mark.parametrize("held", [0, 9, 4 << 20])
+def test_posting_lists_in_small_steps(monkeypatch, step, held):
+    monkeypatch.setattr(index, "STEP_BYTES", step)
+    monkeypatch.setattr(index, "HELD_POSTINGS", held)
+    rows = [(i * 7 % 41, i // 13, t) for i, t in enumerate(TEXTS * 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], ["file_id", "part", "text"])
+    got = {}
+    for out in index._listed([batch[:17], batch[17:]]):
+        for r in out.to_pylist():
+            assert r["ids"] == sorted(r["ids"])
+            got.setdefault((r["gram"], r["part"]), []).extend(r["ids"])
+    assert {k: sorted(v) for k, v in got.items()} == _plain(rows)
