@@ -14,6 +14,7 @@ from .sources import corpus, index
 from .streaming import changes
 
 ACCENTED, WORDS = "É", "und"
+TASKS_A_PART = 4
 BRACES, NESTED_BRACES = "{en/src1*,de}/**/*.txt", "doc-00{0,{1,2}0}*{3,{5,7}}.txt"
 GLOBS = ("*.ts", "src/**/*.spec.js", "!x*", "a*", "**/lib/*/index?.ts", "[ab]c")
 #: (folder, rule): outer rules first, as ignore files on the way down would give them.
@@ -110,7 +111,17 @@ def fallback_reasons(spark, sf_dir):
 def index_codec(spark, sf_dir):
     """Postings of an index written in another codec."""
     own = index.write(files(spark, sf_dir), scratch(spark, "index"), codec="gzip")
-    return own.postings.groupBy(F.substring("gram", 1, 1).alias("letter")).agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
+    return letters(own)
+
+
+def letters(own: index.Index):
+    """Of each first letter of a gram, its postings and files. A file lies in one part, so files are
+    told apart within parts, of which a task has few however large the index is: lists are dealt out
+    whole, and only then opened."""
+    lists = own.lists.where(F.col("gram") != index.FOLDED_LETTERS).select(F.substring("gram", 1, 1).alias("letter"), "part", "ids")
+    dealt = lists.repartition(TASKS_A_PART * len(own.parts), "letter", "part").select("letter", "part", F.explode("ids").alias("file_id"))
+    each = dealt.groupBy("letter", "part", "file_id").agg(F.count("*").alias("n"))
+    return each.groupBy("letter").agg(F.sum("n").alias("n"), F.count("file_id").alias("n_files"))
 
 
 def index_generations(spark, sf_dir):

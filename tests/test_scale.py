@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline import queries
+from sieveline import edge_queries, queries
 from sieveline.sources import index
 from sieveline.streaming import changes
 
@@ -54,3 +54,16 @@ def test_posting_lists_in_small_steps(monkeypatch, step, held):
             assert r["ids"] == sorted(r["ids"])
             got.setdefault((r["gram"], r["part"]), []).extend(r["ids"])
     assert {k: sorted(v) for k, v in got.items()} == _plain(rows)
+
+
+def test_letters_are_counted_within_parts(spark, tmp_path):
+    files = spark.createDataFrame([(i, f"p/{i}", t or "") for i, t in enumerate(TEXTS * 3)], "file_id long, path string, text string")
+    own = index.write(files, f"file://{tmp_path}/index", part_bytes=1)
+    letters, want = edge_queries.letters(own), {}
+    for gram, i in own.postings.collect():
+        want.setdefault(gram[0], []).append(i)
+    assert {r.letter: (r.n, r.n_files) for r in letters.collect()} == {k: (len(v), len(set(v))) for k, v in want.items()}
+    plan = letters._jdf.queryExecution().executedPlan().toString()
+    assert len(own.parts) > 1 and re.search(rf"hashpartitioning\(letter#\d+, part#\d+, {edge_queries.TASKS_A_PART * len(own.parts)}\)", plan)
+    # no task groups files before they are dealt out
+    assert not re.search(r"hashpartitioning\([^)]*file_id", plan)
